@@ -116,14 +116,20 @@ def strongest_lag(sweep: DataFrame) -> DataFrame:
     return sweep.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), F.col("lag").asc()).limit(1)
 
 
-def shifted_series(valid: DataFrame, lag: int) -> DataFrame:
-    """The two series behind one lag, day by day: the series that leads is the shifted one."""
+def shifted_series(valid: DataFrame, span: int = 5) -> DataFrame:
+    """For each lag but 0, the two series behind it day by day; the series that leads is the shifted one."""
     w = W.orderBy("date")
-    if lag < 0:
-        return valid.select(
-            "date", F.col("price_direction").alias("direction"), F.lag("polarity", -lag).over(w).alias("polarity")
+    direction, polarity = F.col("price_direction"), F.col("polarity")
+    pairs = [
+        F.struct(
+            F.lit(k).alias("lag"),
+            (direction if k < 0 else F.lag(direction, k).over(w)).alias("direction"),
+            (F.lag(polarity, -k).over(w) if k < 0 else polarity).alias("polarity"),
         )
-    return valid.select("date", F.lag("price_direction", lag).over(w).alias("direction"), "polarity")
+        for k in range(-span, span + 1)
+        if k
+    ]
+    return valid.select("date", F.array(*pairs).alias("p")).select("date", F.explode("p").alias("p")).select("date", "p.*")
 
 
 def _unpivot(wide: DataFrame, keys: list[str], cells: dict[int, Column]) -> DataFrame:

@@ -117,12 +117,7 @@ def direction_summary(valid: DataFrame) -> DataFrame:
 def strongest_shift(valid: DataFrame, sweep: DataFrame, threshold: float = 0.1) -> DataFrame:
     """The two series at the strongest lag; empty when that lag is 0 or its correlation is at most ``threshold``.
 
-    The lag is one of a handful, so every candidate is a column and the winner (one row) picks among them.
+    All candidate lags come from one pass over the days; the winner (one row) then picks among them.
     """
     best = strongest_lag(sweep).where((F.col("lag") != 0) & (F.abs("r") > threshold)).select("lag")
-    lags = [k for k in range(-5, 6) if k != 0]
-    shifted = None
-    for k in lags:
-        one = shifted_series(valid, k).withColumn("lag", F.lit(k))
-        shifted = one if shifted is None else shifted.unionByName(one)
-    return shifted.join(F.broadcast(best), "lag", "left_semi")
+    return shifted_series(valid).join(F.broadcast(best), "lag", "left_semi")
