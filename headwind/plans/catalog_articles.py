@@ -423,12 +423,16 @@ _TALK = """talk as (select conv_id * 1000 + turn as key, text[1:40] as title, te
 placed as (select *, i // 10 as batch, i % 10 as slot from talk where i < total - total % 10)"""
 
 
-def _talk(spark, sf):
-    return table(spark, sf, "conversations").select(
+def talk_of(conversations):
+    return conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.substring("text", 1, 40).alias("title"), "text", "conv_id", "turn"
     )
 
 
+def _talk(spark, sf):
+    return talk_of(table(spark, sf, "conversations"))
+
+
 _VERBS = ["is", "and", "the", "und", "der", "la", "le", "el"]
 _ADJECTIVES = ["re", "on", "en", "de"]
 
@@ -459,12 +463,16 @@ def _in(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_LEXICON_SQL = f"""with {_TALK}, w as (select key, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}') as tw,
-  regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as xw from placed),
+def lexicon_sql(rows: str) -> str:
+    return f"""with {_TALK}, w as (select key, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}') as tw,
+  regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as xw from {rows}),
 s as (select key, list_filter(tw, lambda x: x in {_in(_VERBS)}) as tv, list_filter(tw, lambda x: x in {_in(_ADJECTIVES)}) as ta,
   list_filter(xw, lambda x: x in {_in(_VERBS)})[1:10] as xv, list_filter(xw, lambda x: x in {_in(_ADJECTIVES)})[1:10] as xa,
   len(list_filter(tw, lambda x: x in ['the', 'la', 'en'])) - len(list_filter(tw, lambda x: x in ['is', 'der', 'de'])) as ts,
   len(list_filter(xw, lambda x: x in ['the', 'la', 'en'])) - len(list_filter(xw, lambda x: x in ['is', 'der', 'de'])) as xs from w)"""
+
+
+_LEXICON_SQL = lexicon_sql("placed")
 _TONE = "case when {0} > 0 then 'positive' when {0} < 0 then 'negative' else 'neutral' end"
 _LEXICON_OUT = f"""array_to_string(tv, ' ') as title_verbs, array_to_string(ta, ' ') as title_adjectives, array_to_string(xv, ' ') as text_verbs,
   array_to_string(xa, ' ') as text_adjectives, {_TONE.format('ts')} as title_tonality, {_TONE.format('xs')} as text_tonality"""
