@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from headwind.functions.stats import safe_corr
 from headwind.operators.rows import top_k
+from headwind.session import cut
+
+ALL_VALUES = 2**31 - 1
 
 
 def value_counts(df: DataFrame, value: str, by: list[str] | None = None, k: int | None = None) -> DataFrame:
@@ -113,38 +116,35 @@ def profile(df: DataFrame, by: str, means: list[str], distributions: dict[str, i
     """Group profiles as one long table ``by, section, ord, key, n, value``.
 
     ``size`` and the means take one row each; every distribution takes its top values (all when the limit is None).
-    Sizes, means and distributions share two aggregations over the rows however many groups there are.
+    The rows are read once, however many groups and sections there are: each row sends one cell per section, the map side
+    folds them, and the folded counts are kept in the shared folder for the rest.
     """
+    empty = F.lit(None).cast("string")
+    cells = [F.struct(F.lit("size").alias("section"), F.lit(0).alias("_k"), empty.alias("key"))]
+    cells += [
+        F.struct(F.lit(c).alias("section"), F.lit(k or ALL_VALUES).alias("_k"), F.col(c).cast("string").alias("key"))
+        for c, k in distributions.items()
+    ]
     known = df.where(F.col(by).isNotNull())
-    base = known.groupBy(by).agg(F.count("*").alias("size"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(means)])
-    scalar_rows = [_row("size", 0, F.lit(None), F.col("size"), F.lit(None))]
+    long = known.select(by, *means, F.explode(F.array(*cells)).alias("r")).select(by, *means, "r.*")
+    folded = cut(
+        long.where("key is not null or section = 'size'")
+        .groupBy(by, "section", "_k", "key")
+        .agg(F.count("*").alias("n"), *[F.avg(F.when(F.col("_k") == 0, F.col(c))).alias(f"_m{i}") for i, c in enumerate(means)])
+    )
+    base = folded.where("section = 'size'")
+    scalar_rows = [_row("size", 0, F.lit(None), F.col("n"), F.lit(None))]
     scalar_rows += [_row(f"avg_{c}", 0, F.lit(None), F.lit(None), F.col(f"_m{i}")) for i, c in enumerate(means)]
     scalars = base.select(by, F.explode(F.array(*scalar_rows)).alias("r")).select(by, "r.*")
     if not distributions:
         return scalars
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("key"), F.lit(k or 0).alias("_k"))
-                for c, k in distributions.items()
-            ]
-        )
-    )
-    long = known.select(by, cells.alias("r")).select(by, "r.*").where("key is not null")
-    counts = long.groupBy(by, "section", "_k", "key").agg(F.count("*").alias("n"))
-    limits = sorted({k for k in distributions.values() if k})
-    limit = max(limits, default=0)
-    parts = []
-    if limits:
-        ranked = top_k(counts.where("_k > 0"), [by, "section"], [F.desc("n"), F.asc("key")], limit, "ord")
-        parts.append(ranked.where("ord <= _k"))
-    if any(k is None for k in distributions.values()):
-        parts.append(top_k(counts.where("_k = 0"), [by, "section"], [F.desc("n"), F.asc("key")], 2**31 - 1, "ord"))
-    dist = reduce(DataFrame.unionByName, parts)
-    withpct = dist.join(base.select(by, "size"), by).select(
+    limit = max(k or ALL_VALUES for k in distributions.values())
+    ranked = top_k(folded.where("section <> 'size'"), [by, "section"], [F.desc("n"), F.asc("key")], limit, "ord")
+    sized = ranked.where("ord <= _k").join(base.select(by, F.col("n").alias("size")), by)
+    dist = sized.select(
         by, "section", F.col("ord").cast("long"), "key", "n", (F.col("n") * F.lit(100.0) / F.col("size")).alias("value")
     )
-    return scalars.unionByName(withpct)
+    return scalars.unionByName(dist)
 
 
 def _row(section: str, order: int, key: Column, n: Column, value: Column) -> Column:

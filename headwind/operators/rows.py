@@ -44,10 +44,25 @@ def hash_order(key: Column, seed: int = 42) -> Column:
 
 
 def exact_sample(df: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:
-    """Exactly ``int(n * rate)`` rows without replacement, the same ones on every run."""
-    order = [hash_order(F.col(key), seed), F.col(key)]
-    size = df.agg(F.floor(F.count("*") * F.lit(float(rate))).alias("n")).scalar()
-    return with_row_index(df, order, "_rank").where(F.col("_rank") < size).drop("_rank")
+    """Exactly ``int(n * rate)`` rows without replacement, the same ones on every run; ``key`` must be unique.
+
+    The sample is all rows up to the m-th smallest hash. A histogram of hash prefixes tells in which small slice that hash
+    lies, only this slice is ranked, and the rows themselves are filtered, never sorted or shuffled.
+    """
+    hashed = df.select(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    sizes = hashed.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.count("*").alias("c"))  # at most 65,536 rows
+    before = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    total = W.partitionBy()
+    placed = sizes.select(
+        "p", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"),
+        F.floor(F.sum("c").over(total) * F.lit(float(rate))).alias("m"),
+    )
+    hit = placed.where("m > before and m <= before + c").select("p", (F.col("m") - F.col("before") - 1).alias("at")).first()
+    if hit is None:  # rate 0 or no rows
+        return df.limit(0)
+    last = with_row_index(hashed.where(F.substring("h", 1, 4) == hit["p"]), ["h", "k"], "i").where(F.col("i") == hit["at"]).first()
+    h, k = hash_order(F.col(key), seed), F.col(key)
+    return df.where((h < last["h"]) | ((h == last["h"]) & (k <= F.lit(last["k"]))))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

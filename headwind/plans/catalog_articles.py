@@ -412,8 +412,7 @@ def _(spark, sf):
 @query("d7_label_lookup", "select n_nationkey, n_name, r_name from nation left join region on n_regionkey = r_regionkey")
 def _(spark, sf):
     names = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    # region names are a label table: one row per label
-    return table(spark, sf, "nation").join(F.broadcast(names), "n_regionkey", "left").select("n_nationkey", "n_name", "r_name")
+    return table(spark, sf, "nation").join(names, "n_regionkey", "left").select("n_nationkey", "n_name", "r_name")
 
 
 # --- annotation -----------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from headwind.functions.stats import avg_where, corr_from_moments, hit_rate, safe_corr, sign3, student_two_sided, t_statistic
 from headwind.operators.series import daily_news, price_changes, shifted_series, strongest_lag
+from headwind.session import cut
 
 
 def joined_days(prices: DataFrame, news: DataFrame) -> DataFrame:
@@ -95,11 +96,13 @@ def source_reliability(prices: DataFrame, news: DataFrame, min_days: int = 5, nu
 
 
 def direction_days(prices: DataFrame, news: DataFrame) -> DataFrame:
-    """News-bearing price days with both directions and whether they agree."""
+    """News-bearing price days with both directions and whether they agree.
+
+    One row per day, kept in the shared folder: the sweeps and summaries read it several times, the articles only once.
+    """
     days = valid_days(joined_days(prices, news)).select("date", "price_change", "price_direction", "polarity")
-    return days.withColumn("polarity_direction", sign3(F.col("polarity"))).withColumn(
-        "match", (F.col("polarity_direction") == F.col("price_direction")).cast("int")
-    )
+    signed = days.withColumn("polarity_direction", sign3(F.col("polarity")))
+    return cut(signed.withColumn("match", (F.col("polarity_direction") == F.col("price_direction")).cast("int")))
 
 
 def direction_summary(valid: DataFrame) -> DataFrame:
