@@ -1,8 +1,9 @@
-"""Calendar labels and gap-free calendars."""
+"""Calendar labels and gap filling."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,19 +16,16 @@ def month_end(day: Column) -> Column:
     return F.last_day(day)
 
 
-def calendar(bounds: DataFrame, low: str, high: str, step_days: int = 1, out: str = "date") -> DataFrame:
-    """One row per step between ``low`` and ``high`` for each row of ``bounds``, the other columns kept."""
-    steps = F.sequence(F.col(low), F.col(high), F.make_dt_interval(F.lit(step_days)))
-    keep = [c for c in bounds.columns if c not in (low, high)]
-    return bounds.select(*keep, F.explode(steps).alias(out))
-
-
 def fill_gaps(counts: DataFrame, day: str, value: str, keys: list[str] | None = None, step_days: int = 1) -> DataFrame:
     """Add the missing steps between the first and last day (of each key) with ``value`` 0.
 
-    ``counts`` must already be aggregated: one row per key and step.
+    ``counts`` must already be aggregated: one row per key and step. Each row stretches up to the next one, so the counts
+    are read once and nothing is joined.
     """
-    keys = keys or []
-    bounds = counts.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi")).where("_lo is not null")
-    full = calendar(bounds, "_lo", "_hi", step_days, day)
-    return full.join(counts, [*keys, day], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    rows = counts.where(F.col(day).isNotNull())
+    following = F.lead(day).over(W.partitionBy(*(keys or [])).orderBy(day))
+    until = F.coalesce(F.date_sub(following, step_days), F.col(day))
+    step = F.make_dt_interval(F.lit(step_days))
+    long = rows.withColumn("_until", until).withColumn("_step", F.explode(F.sequence(F.col(day), F.col("_until"), step)))
+    filled = F.when(F.col("_step") == F.col(day), F.col(value)).otherwise(0)
+    return long.select(*(keys or []), F.col("_step").alias(day), filled.alias(value))

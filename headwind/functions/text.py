@@ -16,23 +16,22 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    n = F.size(words) - 1
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(n, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(n, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def terms(text: Column, stop_words: list[str] | None = None, ngrams: tuple[int, int] = (1, 1)) -> Column:
-    """The terms of a text: words, bigrams, or both."""
+    """The terms of a text: words, bigrams, or both.
+
+    The word list enters the bigram expressions as a lambda variable, so a text is tokenized once and not once per use.
+    """
     if ngrams not in ((1, 1), (1, 2), (2, 2)):
         raise ValueError(f"unsupported n-gram range {ngrams}")
     words = tokens(text, stop_words)
     if ngrams == (1, 1):
         return words
-    return bigrams(words) if ngrams == (2, 2) else F.concat(words, bigrams(words))
+    build = bigrams if ngrams == (2, 2) else lambda w: F.concat(w, bigrams(w))
+    return F.get(F.transform(F.array(words), build), F.lit(0))
 
 
 def default_stop_words() -> list[str]:

@@ -56,7 +56,8 @@ def crosstab_pct(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def top_columns(df: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
     """The cross-tab restricted to the ``k`` values of ``b`` with the largest totals (percent of the full row)."""
-    best = value_counts(df.where(F.col(a).isNotNull()), b, k=k).select(b)  # k rows
+    totals = crosstab(df, a, b).groupBy(b).agg(F.sum("n").alias("_n"))
+    best = totals.orderBy(F.desc("_n"), F.asc(b)).limit(k).select(b)  # k rows
     return crosstab_pct(df, a, b).join(F.broadcast(best), b, "left_semi")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from headwind.functions import fixed_values as fixed
 from headwind.functions.text import WORD
 from headwind.operators.rows import number_batches
+from headwind.session import cut
 
 Annotator = Callable[[str, list[dict]], str]
 
@@ -68,7 +69,8 @@ def call_with_retry(call: Callable[[], str], tries: int = 3, pause: float = 5.0,
 def call_annotator(batches: DataFrame, annotator: Annotator, workers: int | None = None, tries: int = 3, pause: float = 5.0) -> DataFrame:
     """Run the annotator on each batch inside Spark tasks; ``workers`` bounds how many run at once.
 
-    Adds ``ok, error, answer`` to ``batch, records``. A failing call is a value, never a failed task.
+    Adds ``ok, error, answer`` to ``batch, records``. A failing call is a value, never a failed task. The answers are
+    kept in the shared folder, so reading successes and failures later does not call anything again.
     """
     asked = batches.select("batch", "records", prompt_text(F.col("records")).alias("prompt"))
     if workers:
@@ -85,7 +87,7 @@ def call_annotator(batches: DataFrame, annotator: Annotator, workers: int | None
             yield out
 
     schema = asked.drop("prompt").schema.add("ok", "boolean").add("error", "string").add("answer", "string")
-    return asked.mapInPandas(run, schema)
+    return cut(asked.mapInPandas(run, schema))
 
 
 def parse_answers(called: DataFrame) -> DataFrame:

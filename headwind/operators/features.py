@@ -14,6 +14,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_TERMS = 200_000  # a vocabulary with at most this many rows is broadcast
@@ -59,10 +60,10 @@ def tfidf_long(docs: DataFrame, key: str, terms: str, vocab: DataFrame, vocab_si
     total = docs.agg(F.count("*").alias("n")).scalar()
     idf = vocab.select("term", (F.log((total + F.lit(1.0)) / (F.col("df") + 1)) + 1).alias("idf"))
     small = vocab_size is not None and vocab_size <= BROADCAST_TERMS
-    counts = term_counts(docs, key, terms, vocab, vocab_size)
-    raw = counts.join(F.broadcast(idf) if small else idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    known = docs.select(key, F.explode(terms).alias("term")).join(F.broadcast(idf) if small else idf, "term")
+    raw = known.groupBy(key, "term", "idf").agg((F.count("*") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # a document's own terms
+    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 @dataclass

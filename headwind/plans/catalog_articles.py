@@ -10,6 +10,7 @@ from headwind.operators import annotate, features, ingest, rows
 from headwind.plans.catalog_market import r6
 from headwind.plans.fixtures import ARTICLES, NEWS, PAGES, articles, news, pages_of_events, table
 from headwind.plans.registry import query
+from headwind.session import spread
 
 
 def prepared(spark, sf):
@@ -534,13 +535,13 @@ _TERMS = f"doc_words as (select doc_id, {_NO_STOP} as w from documents), doc_ter
 
 
 def _docs(spark, sf, ngrams=(1, 2)):
-    return table(spark, sf, "documents").select("doc_id", terms(F.col("text"), _STOP, ngrams).alias("terms"))
+    return spread(table(spark, sf, "documents")).select("doc_id", terms(F.col("text"), _STOP, ngrams).alias("terms"))
 
 
 @query("h1_token_counts", f"select doc_id, len({_WORDS}) as n, md5(array_to_string({_WORDS}, ' ')) as digest from documents")
 def _(spark, sf):
     t = tokens(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("digest")
     )
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from headwind.functions import naming
+from headwind.operators import naming
 from headwind.functions.text import terms
 from headwind.operators import clustering, decomposition, density, features, pairs, quality, reports
 from headwind.operators import aggregate as agg
@@ -11,6 +11,7 @@ from headwind.plans.catalog_articles import _STOP, prepared
 from headwind.plans.catalog_market import r6
 from headwind.plans.fixtures import ARTICLES, VECTORS, articles, table, vectors
 from headwind.plans.registry import query
+from headwind.session import spread
 
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -211,7 +212,7 @@ TOPICS = 3
 
 
 def _counts(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", terms(F.col("text"), _STOP).alias("terms"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", terms(F.col("text"), _STOP).alias("terms"))
     return features.term_counts(docs, "doc_id", "terms", features.vocabulary(docs, "terms", 100), 100)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwind.functions import fixed_values as fixed
-from headwind.functions import naming
+from headwind.operators import naming
 from headwind.functions.text import default_stop_words, terms
 from headwind.operators import clustering, decomposition, density, features
 from headwind.session import cut

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwind.session import spread
+
 SUBJECTS = ["bitcoin", "altcoin", "Ethereum", "blockchain", "nft", "security law", "trading", "XRP army", "method", "sports"]
 
 
@@ -68,7 +70,7 @@ JOINED = f"{NEWS}, {PRICES}, {CHANGES}, {DAILY}, joined as (select c.*, d.* excl
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels as annotated articles, cells still raw text."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     polarity = ((F.pmod("n_chars", F.lit(17)) - 8) / 8).cast("double")
     subjectivity = (F.pmod("n_chars", F.lit(9)) / 8).cast("double")
     title = F.split_part("text", F.lit("\n"), F.lit(1))

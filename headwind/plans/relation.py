@@ -61,16 +61,10 @@ def subject_impact(prices: DataFrame, news: DataFrame) -> DataFrame:
         .groupBy("subject")
         .agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))).alias("sxy"))
     )
-    totals = changes.agg(
-        F.count("*").cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")
-    )
-    r = corr_from_moments(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return (
-        sums.withColumn("_k", F.lit(1))
-        .join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")  # one row
-        .select("subject", r.alias("r"))
-        .orderBy(F.abs("r").desc_nulls_last(), "subject")
-    )
+    y = F.col("y")
+    totals = changes.agg(F.struct(F.count("*").cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(y * y).alias("syy")))
+    r = corr_from_moments(*[F.col(c) for c in ("t.n", "sx", "t.sy", "sxx", "t.syy", "sxy")])
+    return sums.withColumn("t", totals.scalar()).select("subject", r.alias("r")).orderBy(F.abs("r").desc_nulls_last(), "subject")
 
 
 def source_reliability(prices: DataFrame, news: DataFrame, min_days: int = 5, null_policy: str = "propagate") -> DataFrame:

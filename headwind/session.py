@@ -52,3 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread over all cores before CPU-heavy work; a larger one unchanged.
+
+    Only for plain scans: what is shuffled here is always small.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

@@ -99,6 +99,19 @@ def test_failures_are_values(articles):
     assert [(r.batch, r.error) for r in bad.select("batch", "error").collect()] == [(0, "call failed: boom")]
 
 
+def test_each_batch_is_asked_once(articles, tmp_path):
+    seen = tmp_path / "calls"
+
+    def fn(prompt, records):
+        with open(seen, "a") as f:
+            f.write(records[0]["title"] + "\n")
+        return "[]" if records[0]["title"] == "title 0" else "no"
+
+    good, bad = an.split_outcomes(an.annotate(articles, fn, "id", ["id"]))
+    assert good.count() == 1 and bad.count() == 1 and good.collect() and bad.collect()
+    assert sorted(seen.read_text().split()) == sorted("title 0 title 10".split())
+
+
 def test_resume_goes_by_key(articles, tmp_path):
     seen = tmp_path / "calls"
 

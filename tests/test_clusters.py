@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from headwind.functions import naming
+from headwind.operators import naming
 from headwind.operators import clustering, decomposition, density, features, pairs, quality
 
 
