@@ -418,14 +418,14 @@ def _(spark, sf):
 
 # --- annotation -----------------------------------------------------------------------------------------------------
 
-_TALK = """talk as (select conv_id * 1000 + turn as key, text[1:40] as title, text, cast(row_number() over (order by conv_id, turn) - 1 as bigint) as i,
+_TALK = """talk as (select conv_id * 1000 + turn as key, split_part(text, chr(10), 1) as title, text, cast(row_number() over (order by conv_id, turn) - 1 as bigint) as i,
   count(*) over () as total from conversations),
 placed as (select *, i // 10 as batch, i % 10 as slot from talk where i < total - total % 10)"""
 
 
 def talk_of(conversations):
     return conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.substring("text", 1, 40).alias("title"), "text", "conv_id", "turn"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", "conv_id", "turn"
     )
 
 

@@ -11,7 +11,7 @@ from headwind.plans.catalog_articles import _STOP, prepared
 from headwind.plans.catalog_market import r6
 from headwind.plans.fixtures import ARTICLES, VECTORS, articles, table, vectors
 from headwind.plans.registry import query
-from headwind.session import spread
+from headwind.session import cut, spread
 
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -213,7 +213,8 @@ TOPICS = 3
 
 def _counts(spark, sf):
     docs = spread(table(spark, sf, "documents")).select("doc_id", terms(F.col("text"), _STOP).alias("terms"))
-    return features.term_counts(docs, "doc_id", "terms", features.vocabulary(docs, "terms", 100), 100)
+    vocab = cut(features.vocabulary(docs, "terms", min_df=2, max_df=0.95))
+    return features.term_counts(docs, "doc_id", "terms", vocab, vocab.count())
 
 
 def _start_sql(key, j, seed):
@@ -226,7 +227,8 @@ def _nmf_sql() -> str:
     gram = lambda side, g: ", ".join(f"sum({side}{i} * {side}{j}) as {g}{i}{j}" for i in ks for j in ks if i <= j)
     words = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: x not in [" + ", ".join(f"'{w}'" for w in _STOP) + "])"
     return f"""with t as (select doc_id, unnest({words}) as term from documents),
-    v as (select term from t group by term order by count(*) desc, term limit 100),
+    v as (select term from t group by term having count(distinct doc_id) >= 2
+          and count(distinct doc_id) <= 0.95 * (select count(*) from documents)),
     x as (select doc_id, term, cast(count(*) as double) as x from t where term in (select term from v) group by all),
     f as (select sqrt(sum(x) / (count(distinct term) * count(distinct doc_id)) / {TOPICS}) as scale from x),
     h as (select term, {', '.join(f"{_start_sql('term', j, 42)} as h{j}" for j in ks)} from (select distinct term from x)),

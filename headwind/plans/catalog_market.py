@@ -339,12 +339,11 @@ def _(spark, sf):
 
 @query(
     "g5_daily_counts_gap_free",
-    """with c as (select user_id % 7 as grp, cast(ts as date) as date, count(*) as n from events where event_type = 'error' and value > 40 group by all),
-    b as (select grp, min(date) as lo, max(date) as hi from c group by grp),
-    w as (select grp, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date from b)
-    select w.grp, w.date, coalesce(n, 0) as n from w left join c on c.grp = w.grp and c.date = w.date""",
+    """with c as (select user_id, cast(ts as date) as date, count(*) as n from events group by all),
+    b as (select user_id, min(date) as lo, max(date) as hi from c group by user_id),
+    w as (select user_id, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date from b)
+    select w.user_id, w.date, coalesce(n, 0) as n from w left join c on c.user_id = w.user_id and c.date = w.date""",
 )
 def _(spark, sf):
-    ev = table(spark, sf, "events").where("event_type = 'error' and value > 40")
-    counts = ev.groupBy(F.pmod("user_id", F.lit(7)).alias("grp"), F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
-    return fill_gaps(counts, "date", "n", ["grp"])
+    counts = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    return fill_gaps(counts, "date", "n", ["user_id"])

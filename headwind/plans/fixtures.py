@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwind.functions.text import tokens
 from headwind.session import spread
 
 SUBJECTS = ["bitcoin", "altcoin", "Ethereum", "blockchain", "nft", "security law", "trading", "XRP army", "method", "sports"]
@@ -74,7 +75,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     polarity = ((F.pmod("n_chars", F.lit(17)) - 8) / 8).cast("double")
     subjectivity = (F.pmod("n_chars", F.lit(9)) / 8).cast("double")
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    # words by length stand in for the annotator's verbs and adjectives
+    heading, body = tokens(title), tokens(F.col("text"))
     cls = F.when(polarity > 0, "positive").when(polarity < 0, "negative").otherwise("neutral")
     tone = (
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "Neutral")
@@ -93,10 +95,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         tone.alias("title_tonality"),
         F.when(F.col("toxic").isNotNull(), cls).alias("text_tonality"),
-        F.to_json(F.slice(words, 1, 3)).alias("title_verbs"),
-        F.when(F.col("quality") == 1, F.to_json(F.slice(words, 2, 2))).alias("title_adjectives"),
-        F.to_json(F.slice(words, 4, 3)).alias("text_verbs"),
-        F.when(F.col("toxic") == 0, F.to_json(F.slice(words, 1, 1))).alias("text_adjectives"),
+        F.to_json(F.filter(heading, lambda w: F.length(w) >= 6)).alias("title_verbs"),
+        F.when(F.col("quality") == 1, F.to_json(F.filter(heading, lambda w: F.length(w) == 5))).alias("title_adjectives"),
+        F.to_json(F.filter(body, lambda w: F.length(w) >= 12)).alias("text_verbs"),
+        F.when(F.col("toxic") == 0, F.to_json(F.filter(body, lambda w: F.length(w) == 11))).alias("text_adjectives"),
         F.pmod("n_chars", F.lit(5)).cast("int").alias("cluster"),
     )
 
@@ -108,6 +110,7 @@ ARTICLES = f"""raw_articles as (
          list_extract({_SUBJECT_LIST}, d.doc_id % 10 + 1) as subject, split_part(d.text, chr(10), 1) as title, d.text,
          ((d.n_chars % 17) - 8) / 8 as polarity, (d.n_chars % 9) / 8 as subjectivity,
          regexp_extract_all(lower(split_part(d.text, chr(10), 1)), '[\\p{{L}}\\p{{N}}_]{{2,}}') as words,
+         regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as body,
          l.quality, l.toxic, cast(d.n_chars % 5 as integer) as cluster
   from documents d left join labels l on d.doc_id = l.doc_id),
 articles as (
@@ -115,8 +118,10 @@ articles as (
          case when toxic = 1 then 'negative' when quality = 1 then 'positive' when quality = 0 then 'Neutral' end as title_tonality,
          case when toxic is null then null when polarity > 0 then 'positive' when polarity < 0 then 'negative'
               else 'neutral' end as text_tonality,
-         words[1:3] as title_verbs, case when quality = 1 then words[2:3] else [] end as title_adjectives,
-         words[4:6] as text_verbs, case when toxic = 0 then words[1:1] else [] end as text_adjectives,
+         list_filter(words, lambda w: length(w) >= 6) as title_verbs,
+         case when quality = 1 then list_filter(words, lambda w: length(w) = 5) else [] end as title_adjectives,
+         list_filter(body, lambda w: length(w) >= 12) as text_verbs,
+         case when toxic = 0 then list_filter(body, lambda w: length(w) = 11) else [] end as text_adjectives,
          case subject when 'bitcoin' then 'Bitcoin' when 'altcoin' then 'Litecoin' when 'Ethereum' then 'Ethereum'
               when 'blockchain' then 'Blockchain Tech' when 'nft' then 'Blockchain Tech' when 'security law' then 'Regulation'
               when 'trading' then 'Markets & Exchanges' when 'XRP army' then 'Ripple' when 'method' then 'Ethereum'
