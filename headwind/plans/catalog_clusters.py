@@ -83,7 +83,7 @@ def _(spark, sf):
 
 @query("i4_d8_silhouette_points", f"{_EXACT} select id, cluster, round(s, 6) + 0.0 as s from sil")
 def _(spark, sf):
-    points = quality.silhouette_points(vectors(spark, sf), "id", "x", "cluster", block_rows=256)
+    points = quality.silhouette_points(vectors(spark, sf), "id", "x", ["cluster"], block_rows=256)
     return points.select("id", "cluster", r6("s"))
 
 
@@ -141,8 +141,9 @@ def _(spark, sf):
 
 @query("i1_kmeans")
 def _(spark, sf):
-    found = clustering.fit_kmeans(clusters.to_vector(vectors(spark, sf), "x"), "features", 5, n_init=3, out="group")
-    return found.rows.groupBy("group").agg(F.count("*").alias("n"))
+    points = clusters.to_vector(vectors(spark, sf), "x")
+    found = clustering.fit_kmeans(points, "features", 5, n_init=3)
+    return found.label(points, "group").groupBy("group").agg(F.count("*").alias("n"))
 
 
 @query("i2_elbow")

@@ -36,7 +36,7 @@ def sentiment_clusters(df: DataFrame, k: int = 3, n_init: int = 10, seed: int =
     filled = df.fillna(0, subset=TONE_FEATURES)
     scaled = features.standardize(filled, TONE_FEATURES)
     ready = cut(features.assemble(scaled, [f"{c}_z" for c in TONE_FEATURES]).drop(*[f"{c}_z" for c in TONE_FEATURES]))
-    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed, out="sentiment_cluster").rows.drop("features")
+    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed).label(ready, "sentiment_cluster").drop("features")
     labels = clustering.order_by_polarity(rows, "sentiment_cluster", "sentiment_polarity", fixed.POLARITY_LABELS)
     return rows.join(labels.select("sentiment_cluster", F.col("label").alias("sentiment_cluster_label")), "sentiment_cluster")
 
@@ -60,9 +60,8 @@ def source_features(df: DataFrame, stop: list[str] | None = None, word_terms: in
 
 def _reduced_clusters(ready: DataFrame, key: str, max_k: int, method: str, n_init: int, seed: int, dims: int, out: str):
     reduced = cut(decomposition.truncated_svd(ready, "features", dims).rows.drop("features"))
-    k, scores = clustering.best_k(reduced, key, "reduced", max_k, method, n_init, seed)
-    rows = clustering.fit_kmeans(reduced, "reduced", k, n_init, seed, out=out).rows.drop("reduced")
-    return rows, scores
+    _, scores, best = clustering.best_k(reduced, key, "reduced", max_k, method, n_init, seed)
+    return best.label(reduced, out).drop("reduced"), scores
 
 
 def subject_clusters(
@@ -122,7 +121,7 @@ def topic_clusters(
     out = cut(out.fillna(0, subset=TONE_FEATURES))
     scaled = features.standardize(out, inputs)
     ready = cut(features.assemble(scaled, [f"{c}_z" for c in inputs]).drop(*[f"{c}_z" for c in inputs]))
-    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed, out="topic_cluster").rows.drop("features")
+    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed).label(ready, "topic_cluster").drop("features")
     top = []
     for prefix, table in zip(("verb", "adj"), words):
         arrays = rows.select("topic_cluster", F.array(*[F.col(f"{prefix}_topic_{j}") for j in range(topics)]).alias("t"))
@@ -146,7 +145,7 @@ def general_features(df: DataFrame, stop: list[str] | None = None, max_terms: in
 def general_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, stop: list[str] | None = None) -> DataFrame:
     """Articles by words and numbers; clusters named by tone, subject and source. ``features`` stays on the rows."""
     ready = cut(general_features(df, stop))
-    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed).rows
+    rows = clustering.fit_kmeans(ready, "features", k, n_init, seed).label(ready)
     return _label(rows, naming.tone_names(rows, "cluster"), "cluster", "cluster_label")
 
 

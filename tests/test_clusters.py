@@ -92,6 +92,14 @@ def test_silhouette_equals_brute_force(spark, copies, block):
     assert math.isclose(got, brute_silhouette(x, c), rel_tol=1e-9)
 
 
+def test_labelings_share_one_pass(spark):
+    x = cloud(6)
+    df = points(spark, x, np.arange(len(x)) % 4).withColumn("other", F.pmod(F.col("id"), F.lit(3)))
+    got = {r.labeling: r.silhouette for r in quality.silhouettes(df, "id", "x", ["cluster", "other"], 32).collect()}
+    assert math.isclose(got["cluster"], brute_silhouette(x, np.arange(len(x)) % 4), rel_tol=1e-9)
+    assert math.isclose(got["other"], brute_silhouette(x, np.arange(len(x)) % 3), rel_tol=1e-9)
+
+
 def test_block_pairs_meet_once_and_stay_bounded(spark):
     x = np.zeros((300, 2)) + np.arange(300)[:, None] * 1e-3  # one crowded cell
     folded = pairs.fold_copies(points(spark, x), "id", "x")
@@ -112,7 +120,7 @@ def test_kmeans_numbers_are_stable(spark):
     b = clustering.fit_kmeans(df.repartition(2), "features", 4, n_init=3)
     assert a.sizes == sorted(a.sizes, reverse=True) and sum(a.sizes) == 120
     assert [round(v, 6) for c in a.centers for v in c] == [round(v, 6) for c in b.centers for v in c]
-    counted = {r.cluster: r.n for r in a.rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    counted = {r.cluster: r.n for r in a.label(df).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     assert [counted[i] for i in range(4)] == a.sizes
     assigned = clustering.assign(points(spark, x), "x", a.centers)
     assert math.isclose(assigned.agg(F.sum("d2")).first()[0], a.cost, rel_tol=1e-9)
@@ -122,8 +130,8 @@ def test_cost_falls_and_the_right_k_wins(spark):
     df = points(spark, cloud(8)).withColumn("features", array_to_vector("x"))
     costs = [r.cost for r in clustering.elbow(df, "features", range(2, 6), n_init=3).orderBy("k").collect()]
     assert costs == sorted(costs, reverse=True)
-    k, table = clustering.best_k(df, "id", "features", 5, "silhouette", n_init=3)
-    assert k == 4 and table.count() == 4
+    k, table, best = clustering.best_k(df, "id", "features", 5, "silhouette", n_init=3)
+    assert k == 4 and table.count() == 4 and len(best.centers) == 4
     with pytest.raises(ValueError):
         clustering.best_k(df, "id", "features", 2, "guess", n_init=1)
 
