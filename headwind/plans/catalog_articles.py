@@ -21,6 +21,11 @@ def items(spark, sf):
     return ingest.flatten_pages(pages_of_events(spark, sf), ("page",))
 
 
+def plain_time(df):
+    """Instants as zone-less UTC times, the way the tables hold them."""
+    return df.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 _ITEM = "page, pos, title, published_at, sentiment, url, array_to_string(string_split(currencies, ','), ' ') as currencies, source"
@@ -28,7 +33,7 @@ _ITEM = "page, pos, title, published_at, sentiment, url, array_to_string(string_
 
 @query("a4_b14_b15_b16_flatten_pages", f"with {PAGES} select {_ITEM} from items")
 def _(spark, sf):
-    return items(spark, sf).withColumn("currencies", F.array_join("currencies", " "))
+    return plain_time(items(spark, sf).withColumn("currencies", F.array_join("currencies", " ")))
 
 
 @query(
@@ -39,7 +44,7 @@ def _(spark, sf):
 def _(spark, sf):
     ts = F.col("published_at")
     lo, hi = F.lit("2024-01-10T00:00:00Z").cast("timestamp"), F.lit("2024-01-20T12:00:00Z").cast("timestamp")
-    return items(spark, sf).where(ingest.in_range(ts, lo, hi)).select("url", "published_at")
+    return plain_time(items(spark, sf).where(ingest.in_range(ts, lo, hi)).select("url", "published_at"))
 
 
 @query(
@@ -144,7 +149,7 @@ def _(spark, sf):
     f"with {PAGES} select url, published_at from items order by published_at desc, url limit 5",
 )
 def _(spark, sf):
-    return rows.latest(items(spark, sf), [F.desc("published_at"), F.asc("url")]).select("url", "published_at")
+    return plain_time(rows.latest(items(spark, sf), [F.desc("published_at"), F.asc("url")]).select("url", "published_at"))
 
 
 @query(

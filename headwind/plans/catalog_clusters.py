@@ -1,5 +1,6 @@
 """Queries on features and clusterings: assignment, scores, density, factors, names, whole clusterings, reports."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from headwind.operators import naming
@@ -176,8 +177,6 @@ def _(spark, sf):
 
 @query("i8_truncated_svd")
 def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     svd = decomposition.truncated_svd(clusters.to_vector(vectors(spark, sf), "x"), "features", 10)
     return svd.rows.select("id", F.get(vector_to_array("reduced"), F.lit(0)).alias("first"))
 
@@ -362,6 +361,27 @@ def _(spark, sf):
     return naming.outlet_names(rows, "grp", "outlet")
 
 
+def _filled(df):
+    """How many cells of each feature vector are filled, and its length."""
+    cells = vector_to_array("features")
+    return df.select("row_id", F.size(cells).alias("width"), F.size(F.filter(cells, lambda v: v != 0)).alias("filled"))
+
+
+@query("h10_general_features")
+def _(spark, sf):
+    return _filled(clusters.general_features(prepared(spark, sf)))
+
+
+@query("h10_subject_features")
+def _(spark, sf):
+    return _filled(clusters.subject_features(prepared(spark, sf)))
+
+
+@query("h10_source_features")
+def _(spark, sf):
+    return _filled(clusters.source_features(prepared(spark, sf)))
+
+
 # --- whole clusterings ----------------------------------------------------------------------------------------------
 
 
