@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 512
 FREQUENT = 20_000  # pieces in the broadcast table
 PER_TASK = 50_000  # pieces that one task reports in the first pass
-CACHED = 500_000  # pieces in a worker's cache before it starts anew
+CACHED = 1_000_000  # pieces in a worker's cache before it starts anew
 SLICE = 128  # texts handled at a time
 LONG = 64  # longer pieces are encoded but not cached
 
@@ -77,6 +77,38 @@ def encode_apart(tokenizer, parts: list[str]) -> list[np.ndarray]:
     ]
 
 
+def byte_lengths(tokenizer) -> np.ndarray:
+    """The number of bytes that each id of a byte-level vocabulary stands for; 0 for special tokens."""
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    out = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token.removesuffix("</w>"))  # one character for each byte
+    return out
+
+
+def ends_at(sizes: np.ndarray, parts: list[int]) -> np.ndarray | None:
+    """How many of the tokens end with each part, from the bytes of both; None if some part ends inside a token."""
+    ends, wanted = np.cumsum(sizes), np.cumsum(parts)
+    at = np.searchsorted(ends, wanted)
+    if not len(ends) or at[-1] >= len(ends) or not np.array_equal(ends[at], wanted) or ends[-1] != wanted[-1]:
+        return None
+    return at + 1
+
+
+def led_lengths(tokenizer, sizes: np.ndarray, parts: list[str]) -> list[int]:
+    """The numbers of tokens of pieces with the space that leads each, none of which starts with white space.
+
+    Put together, the pieces are a text that the tokenizer cuts at these spaces itself.
+    """
+    if not parts:
+        return []
+    ids = tokenizer.encode(" " + " ".join(parts), add_special_tokens=False).ids
+    ends = ends_at(sizes[np.array(ids, dtype=np.int64)], [len(p.encode()) + 1 for p in parts])
+    if ends is None:
+        return [len(e) for e in encode_apart(tokenizer, [f" {p}" for p in parts])]
+    return np.diff(ends, prepend=0).tolist()
+
+
 def frequent_pieces(docs: DataFrame, text_col: str, most: int = FREQUENT) -> list[str]:
     """The most frequent pieces of all texts; each task reports a bounded summary of its own."""
 
@@ -110,6 +142,7 @@ def count_tokens(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, first = tokenizer_of(tokenizer_path), shared.value
+        sizes = byte_lengths(tok)
         known = _caches.setdefault((tokenizer_path, id(first)), dict(first))
 
         def whole(text: str) -> int:
@@ -117,18 +150,30 @@ def count_tokens(
 
         for batch in slices(batches, SLICE):
             values = texts(batch.column(1))
-            cut = [None if any(s in t for s in specials) else pieces(t) for t in values]
-            tails = [c[1:] for c in cut if c is not None]
-            missing = list(set(chain.from_iterable(tails)) - known.keys())
-            if len(known) + len(missing) > CACHED + len(first):
+            if len(known) > CACHED + len(first):
                 known.clear()
                 known.update(first)
-                missing = list(set(chain.from_iterable(tails)) - known.keys())
-            known.update(zip(missing, map(len, encode_apart(tok, [f" {p}" for p in missing]))))
-            heads = iter(map(len, encode_apart(tok, [c[0] for c in cut if c is not None])))
-            rest = iter(tails)
-            counts = [whole(t) if c is None else next(heads) + sum(map(known.__getitem__, next(rest))) for t, c in zip(values, cut)]
-            for p in missing:
+            look, counts, heads, missed = known.get, [], [], []
+            for text in values:
+                if any(s in text for s in specials):
+                    counts.append(whole(text))
+                    missed.append([])
+                    continue
+                head, *tail = pieces(text)
+                found = list(map(look, tail))
+                missed.append([p for p, n in zip(tail, found) if n is None] if None in found else [])
+                counts.append(sum(filter(None, found)))
+                heads.append((len(counts) - 1, head))
+            fresh = set(chain.from_iterable(missed))
+            led = [p for p in fresh if not p[:1].isspace()]
+            known.update(zip(led, led_lengths(tok, sizes, led)))
+            apart = [p for p in fresh if p[:1].isspace()]
+            known.update(zip(apart, map(len, encode_apart(tok, [f" {p}" for p in apart]))))
+            for i, rest in enumerate(missed):
+                counts[i] += sum(map(known.__getitem__, rest))
+            for (i, _), ids in zip(heads, encode_apart(tok, [h for _, h in heads])):
+                counts[i] += len(ids)
+            for p in fresh:
                 if len(p) > LONG:
                     del known[p]
             yield pa.RecordBatch.from_pydict(
