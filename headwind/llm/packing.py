@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwind.llm.tables import keep, slices, texts
-from headwind.llm.token_counts import encode_apart, special_strings, tokenizer_of
+from headwind.llm.token_counts import byte_lengths, encode_apart, ends_at, special_strings, tokenizer_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CAPACITY = 4096
@@ -34,7 +33,7 @@ FULL = 8  # a bin with at most this much room is nearly full
 FAN_IN = 8
 GROUP = 200_000  # bins that meet in one task at most, on average
 LOCAL = 50_000  # pieces that a task packs at a time
-CACHED = 350_000
+CACHED = 800_000
 SLICE = 128
 LONG = 64
 
@@ -51,6 +50,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer_path)
         specials = special_strings(tok)
+        sizes = byte_lengths(tok)
         known = _caches.setdefault(tokenizer_path, {})
         end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -59,17 +59,27 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
 
         for batch in slices(batches, SLICE):
             values = texts(batch.column(1))
-            cut = [None if _ODD.search(t) or any(s in t for s in specials) else t.split() for t in values]
-            words = [c for c in cut if c is not None]
-            missing = list(set(chain.from_iterable(words)) - known.keys())
-            if len(known) + len(missing) > CACHED:
+            if len(known) > CACHED:
                 known.clear()
-                missing = list(set(chain.from_iterable(words)))
-            known.update(zip(missing, (ids.astype("<u4").tobytes() for ids in encode_apart(tok, missing))))
-            look = known.__getitem__
+            look, cut, gaps, missed = known.get, [], [], set()
+            for text in values:
+                if _ODD.search(text) or any(s in text for s in specials):
+                    cut.append(None)
+                    gaps.append([])
+                    continue
+                words = text.split()
+                found = list(map(look, words))
+                gap = [(i, words[i]) for i, ids in enumerate(found) if ids is None] if None in found else []
+                missed.update(w for _, w in gap)
+                cut.append(found)
+                gaps.append(gap)
+            fresh = list(missed)
+            known.update(zip(fresh, word_ids(tok, sizes, fresh)))
             doc, piece, start, length, crc = [], [], [], [], []
-            for key, text, parts in zip(batch.column(0).to_pylist(), values, cut):
-                ids = (whole(text) if parts is None else b"".join(map(look, parts))) + end
+            for key, text, found, gap in zip(batch.column(0).to_pylist(), values, cut, gaps):
+                for i, w in gap:
+                    found[i] = known[w]
+                ids = (whole(text) if found is None else b"".join(found)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     doc.append(key)
@@ -77,9 +87,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                     start.append(at // 4)
                     length.append(len(own) // 4)
                     crc.append(zlib.crc32(own))
-            for p in missing:
-                if len(p) > LONG:
-                    del known[p]
+            for w in fresh:
+                if len(w) > LONG:
+                    del known[w]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
@@ -90,6 +100,21 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
+def word_ids(tokenizer, sizes: np.ndarray, words: list[str]) -> list[bytes]:
+    """The ids of each word as bytes; encoded together, with a space between them, and cut by the bytes of their tokens."""
+    if not words:
+        return []
+    joined = " ".join(words)
+    parts = (tokenizer.normalizer.normalize_str(joined) if tokenizer.normalizer else joined).split(" ")
+    ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+    ends = ends_at(sizes[ids], [len(p.encode()) for p in parts]) if len(parts) == len(words) else None
+    if ends is None:
+        return [own.astype("<u4").tobytes() for own in encode_apart(tokenizer, words)]
+    raw = ids.tobytes()
+    cuts = [0, *(4 * ends).tolist()]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """The bin and the offset of each item, longest first, each into the bin with the least room that takes it."""
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
