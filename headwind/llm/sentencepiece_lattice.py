@@ -133,7 +133,7 @@ class Lattice:
         """The text with marks for spaces, cut before each run of marks; no piece reaches over such a cut."""
         if not text:
             return []
-        if "  " in text or SPACE in text:
+        if text[0] == " " or "  " in text or SPACE in text:  # runs of marks, with the one that leads the text
             return _RUNS.findall(SPACE + text.replace(" ", SPACE))
         return [SPACE + w for w in text.split(" ")]
 
