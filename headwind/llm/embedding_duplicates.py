@@ -171,7 +171,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             links_b = near.T @ a["n"].to_numpy()
             label_a, label_b = _labels(near)
             ids = np.concatenate([ids_a, ids_b])
-            hit_a, hit_b = links_a > 0, (links_b > 0) & (low != high)
+            hit_a, hit_b = links_a > 0, links_b > 0
+            if low == high:
+                links_b[:] = 0  # counted once; a vector's two labels, as a row and as a column, are both needed
             out = {
                 "node": np.concatenate([ids_a[hit_a], ids_b[hit_b]]), "links": np.concatenate([links_a[hit_a], links_b[hit_b]]).astype(np.int64),
                 "to": np.concatenate([ids[label_a[hit_a]], ids[label_b[hit_b]]]),
