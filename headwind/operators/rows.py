@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,8 +87,8 @@ def last_if_more(df: DataFrame, day: str, n: int = 90) -> DataFrame:
     return df.where(F.lit(n) < total).orderBy(F.col(day).desc()).limit(n)
 
 
-def number_batches(df: DataFrame, order: list[str | Column], size: int, drop_tail: bool = True) -> DataFrame:
-    """``batch`` and 1-based ``slot`` for every row in order; a short last batch is dropped by default."""
+def number_batches(df: DataFrame, order: list[str | Column], size: int, drop_tail: bool = False) -> DataFrame:
+    """``batch`` and 1-based ``slot`` for every row in order; ``drop_tail`` leaves a short last batch out."""
     indexed = with_row_index(df, order, "_i")
     if drop_tail:
         total = indexed.agg(F.count("*").alias("n")).scalar()
@@ -96,9 +98,18 @@ def number_batches(df: DataFrame, order: list[str | Column], size: int, drop_tai
     ).drop("_i")
 
 
-def deduplicate(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One whole row per key, the first in ``order``; hot keys shrink before the shuffle."""
+def deduplicate(df: DataFrame, key: list[str], order: list[str], null_key: str = "keep") -> DataFrame:
+    """One whole row per key, the first in ``order``; hot keys shrink before the shuffle.
+
+    Rows with a null in the key are all kept, or folded like any other key with ``null_key="fold"``.
+    """
+    if null_key not in ("keep", "fold"):
+        raise ValueError(f"unknown null_key {null_key!r}")
     rest = [c for c in df.columns if c not in key]
     lead = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
-    picked = df.groupBy(*key).agg(F.min(lead).alias("_r"))
-    return picked.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    known = df.dropna(subset=key) if null_key == "keep" else df
+    picked = known.groupBy(*key).agg(F.min(lead).alias("_r"))
+    out = picked.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    if null_key == "keep":
+        out = out.unionByName(df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])))
+    return out

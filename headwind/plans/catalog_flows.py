@@ -76,18 +76,24 @@ def _(spark, sf):
     return jobs.rows_of(spark, out).select("url", "sentiment", F.array_join("currencies", " ").alias("currencies"), "source")
 
 
+def _landed(spark, sf, copies: int):
+    """The events as a stream of several micro-batches, each with rows of all days, every row ``copies`` times."""
+    path = scratch_path(spark, "events")
+    events = table(spark, sf, "events")
+    many = events.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    many.repartition(4, F.xxhash64("event_id", "_c")).drop("_c").write.parquet(path)
+    return jobs.read_files(spark, path, events.schema, files_per_batch=1)
+
+
 @query("l2_deduplicated_stream", "select event_id, event_type, value from events")
 def _(spark, sf):
-    out = scratch_path(spark, "deduplicated")
-    twice = _stream(spark, sf, "events").unionByName(_stream(spark, sf, "events"))
-    jobs.append_to(jobs.deduplicated(twice, ["event_id"], "ts", "40 days"), out)
-    return jobs.rows_of(spark, out).select("event_id", "event_type", "value")
+    kept = jobs.deduplicate_to(_landed(spark, sf, 2), scratch_path(spark, "deduplicated"), ["event_id"], ["ts"])
+    return kept.select("event_id", "event_type", "value")
 
 
 @query("l3_daily_stream_counts", "select cast(ts as date) as bucket, event_type, count(*) as n from events group by all")
 def _(spark, sf):
-    counts = jobs.bucket_counts(_stream(spark, sf, "events"), "ts", ["event_type"])
-    return jobs.upsert_to(counts, scratch_path(spark, "daily"), ["bucket", "event_type"])
+    return jobs.count_to(_landed(spark, sf, 1), scratch_path(spark, "daily"), "ts", ["event_type"])
 
 
 @query(
@@ -95,8 +101,7 @@ def _(spark, sf):
     "select cast(cast(date_trunc('week', ts) as date) + 6 as date) as bucket, event_type, count(*) as n from events group by all",
 )
 def _(spark, sf):
-    counts = jobs.bucket_counts(_stream(spark, sf, "events"), "ts", ["event_type"], "week")
-    return jobs.upsert_to(counts, scratch_path(spark, "weekly"), ["bucket", "event_type"])
+    return jobs.count_to(_landed(spark, sf, 1), scratch_path(spark, "weekly"), "ts", ["event_type"], "week")
 
 
 @query("l4_resumable_annotation", f"{lexicon_sql('talk')} select key, {_LEXICON_OUT} from s")

@@ -7,12 +7,13 @@ lives in ``<path>/_progress`` inside the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from headwind.operators import annotate, ingest
+from headwind.operators import annotate, ingest, rows
 from headwind import schemas
 
 
@@ -44,41 +45,66 @@ def land_pages(spark: SparkSession, source: str, path: str) -> DataFrame:
     return rows_of(spark, path)
 
 
-def deduplicated(stream: DataFrame, key: list[str], ts: str, delay: str = "1 day") -> DataFrame:
-    """First sighting of each key; state is dropped once the watermark has passed."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+def deduplicate_to(stream: DataFrame, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """Append one row per key to ``path``: the first one seen, within a micro-batch the first in ``order``.
 
+    Keys that earlier micro-batches landed are left out by a join with the landed keys, so no state is kept and no row is
+    ever late, whatever the order of the files. Each micro-batch overwrites its own folder: a repeated one changes nothing.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        fresh = rows.deduplicate(batch, key, order, null_key="fold")
+        if number:
+            landed = rows_of(batch.sparkSession, path).where(F.col("batch") < number).select(*[F.col(c).alias(f"_{c}") for c in key])
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+            fresh = fresh.join(landed, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-def bucket_counts(stream: DataFrame, ts: str, by: list[str], width: str = "day", delay: str = "2 days") -> DataFrame:
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress")
+    finish(query.trigger(availableNow=True).start())
+    return rows_of(stream.sparkSession, path).drop("batch")
+
+
+def bucket_counts(df: DataFrame, ts: str, by: list[str], width: str = "day") -> DataFrame:
     """Counts per day or per Monday-to-Sunday week and key; ``bucket`` is the day or the closing Sunday."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    at = F.col(ts).cast("timestamp")
     if width == "day":
-        window = F.window(ts, "1 day")
-        label = F.to_date("w.start")
+        label = F.to_date(at)
     elif width == "week":
-        window = F.window(ts, "7 days", startTime="4 days")  # weeks start on a Monday
-        label = F.date_sub(F.to_date("w.end"), 1)
+        label = F.date_add(F.to_date(F.date_trunc("week", at)), 6)
     else:
         raise ValueError(f"unknown width {width!r}")
-    return timed.groupBy(window.alias("w"), *by).agg(F.count("*").alias("n")).select(label.alias("bucket"), *by, "n")
+    return df.where(at.isNotNull()).groupBy(label.alias("bucket"), *by).agg(F.count("*").alias("n"))
 
 
-def upsert_to(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Run an updating aggregate into ``path`` and return its latest state, one row per key.
+def count_to(stream: DataFrame, path: str, ts: str, by: list[str], width: str = "day") -> DataFrame:
+    """``bucket, by…, n`` over all that a stream has brought to ``path``, in any order and over any number of runs.
 
-    Each micro-batch overwrites its own folder, so a repeated batch changes nothing.
+    A micro-batch is folded to partial counts in a folder of its own; the answer is their sum, so rows cannot come late.
+    At the end of a run the partial counts are folded into one base table, and later reads take that base and what is newer.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        bucket_counts(batch, ts, by, width).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/_progress")
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/_progress")
     finish(query.trigger(availableNow=True).start())
-    saved = rows_of(stream.sparkSession, path)
-    values = [c for c in saved.columns if c not in (*keys, "batch")]
-    latest = saved.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
-    return latest.select(*keys, *values)
+    return _folded(stream.sparkSession, path, ["bucket", *by])
+
+
+def _folded(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    parts = rows_of(spark, path)
+    newest = parts.agg(F.max("batch")).first()[0]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/base")
+    if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        base = spark.read.parquet(f"{path}/base")
+        upto = base.agg(F.max("upto")).first()[0]
+        if upto == newest:
+            return base.where(F.col("upto") == upto).drop("upto")
+        parts = parts.where(F.col("batch") > upto).drop("batch").unionByName(base.where(F.col("upto") == upto).drop("upto"))
+    folded = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    folded.write.mode("overwrite").parquet(f"{path}/base/upto={newest}")
+    return spark.read.parquet(f"{path}/base").where(F.col("upto") == newest).drop("upto")
 
 
 def annotate_new(
