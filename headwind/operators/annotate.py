@@ -25,12 +25,16 @@ INSTRUCTIONS = (
 )
 
 
-def make_batches(articles: DataFrame, key: str, order: list[str], size: int = 10, drop_tail: bool = True) -> DataFrame:
+def make_batches(articles: DataFrame, key: str, order: list[str], size: int = 10, drop_tail: bool = False) -> DataFrame:
     """``batch, records``: up to ``size`` articles in row order, those without a title or a text left out.
 
-    A batch keeps its place in the row order even when it is short; a batch without any usable article disappears.
+    A batch keeps its place in the row order even when it is short; a batch without any usable article disappears. Only
+    keys and order columns are sorted and numbered; ``key`` must be unique.
     """
-    placed = number_batches(articles, order, size, drop_tail).where("title is not null and text is not null")
+    names = list(dict.fromkeys([key, *order]))
+    numbers = number_batches(articles.select(*names), order, size, drop_tail).select(F.col(key).alias("_key"), "batch", "slot")
+    usable = articles.where("title is not null and text is not null")
+    placed = usable.join(numbers, F.col(key).eqNullSafe(F.col("_key")))
     record = F.struct("slot", F.col(key).alias("key"), "title", "text")
     # a batch never holds more than ``size`` rows
     return placed.groupBy("batch").agg(F.array_sort(F.collect_list(record)).alias("records"))
@@ -152,7 +156,7 @@ def write_back(articles: DataFrame, annotations: DataFrame, key: str) -> DataFra
 
 
 def annotate(
-    articles: DataFrame, annotator: Annotator, key: str, order: list[str], size: int = 10, drop_tail: bool = True,
+    articles: DataFrame, annotator: Annotator, key: str, order: list[str], size: int = 10, drop_tail: bool = False,
     workers: int | None = None,
 ) -> DataFrame:
     """``batch, records, ok, error, raw_answer, results`` for every batch of the articles."""

@@ -9,18 +9,43 @@ from pyspark.ml.feature import (
     ElementwiseProduct,
     Normalizer,
     OneHotEncoder,
-    StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_TERMS = 200_000  # a vocabulary with at most this many rows is broadcast
+from headwind.operators.rows import with_row_index
+
+BROADCAST_BYTES = 64 << 20  # counted bytes up to which a table is broadcast
 VECTOR_TERMS = 1 << 18  # largest vocabulary kept as a list for vector columns
 
 
+def fold_terms(docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """``key, term, tf``: the counts of each document's terms; folded where the document lies, before the shuffle.
+
+    Keep the result: vocabulary, counts and weights all come from it, so the texts are read once.
+    """
+    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _bounded(counts: DataFrame, n_docs: Column | None, max_features: int | None, min_df: int, max_df: float) -> DataFrame:
+    if min_df > 1:
+        counts = counts.where(F.col("df") >= min_df)
+    if max_df < 1.0:
+        counts = counts.where(F.col("df") <= n_docs * F.lit(float(max_df)))
+    return counts.orderBy(F.desc("n"), F.asc("term")).limit(max_features) if max_features else counts
+
+
+def vocabulary_of(
+    folded: DataFrame, max_features: int | None = None, min_df: int = 1, max_df: float = 1.0, n_docs: Column | None = None
+) -> DataFrame:
+    """``term, n, df`` of folded documents; ``max_df`` below 1 needs the number of documents (a scalar column)."""
+    counts = folded.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+    return _bounded(counts, n_docs, max_features, min_df, max_df)
+
+
 def vocabulary(
     docs: DataFrame, terms: str, max_features: int | None = None, min_df: int = 1, max_df: float = 1.0
 ) -> DataFrame:
@@ -36,32 +61,22 @@ def vocabulary(
     counts = (
         docs.select(F.explode(marks).alias("m")).select("m.*").groupBy("term").agg(F.sum("c").alias("n"), F.sum("d").alias("df"))
     )
-    if min_df > 1:
-        counts = counts.where(F.col("df") >= min_df)
-    if max_df < 1.0:
-        total = docs.agg(F.count("*").alias("n")).scalar()
-        counts = counts.where(F.col("df") <= total * F.lit(float(max_df)))
-    return counts.orderBy(F.desc("n"), F.asc("term")).limit(max_features) if max_features else counts
+    total = docs.agg(F.count("*").alias("n")).scalar() if max_df < 1.0 else None
+    return _bounded(counts, total, max_features, min_df, max_df)
 
 
-def term_counts(docs: DataFrame, key: str, terms: str, vocab: DataFrame | None = None, vocab_size: int | None = None) -> DataFrame:
-    """``key, term, tf`` in long form, restricted to a vocabulary. A document sits in one partition, so most of the
-    counting happens before the shuffle. Give ``vocab_size`` when the vocabulary's size is bounded."""
-    long = docs.select(key, F.explode(terms).alias("term"))
-    if vocab is not None:
-        side = vocab.select("term")
-        small = vocab_size is not None and vocab_size <= BROADCAST_TERMS
-        long = long.join(F.broadcast(side) if small else side, "term", "left_semi")
-    return long.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf_long(docs: DataFrame, key: str, terms: str, vocab: DataFrame, vocab_size: int | None = None) -> DataFrame:
-    """``key, term, weight``: tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1. Any vocabulary size."""
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    idf = vocab.select("term", (F.log((total + F.lit(1.0)) / (F.col("df") + 1)) + 1).alias("idf"))
-    small = vocab_size is not None and vocab_size <= BROADCAST_TERMS
-    known = docs.select(key, F.explode(terms).alias("term")).join(F.broadcast(idf) if small else idf, "term")
-    raw = known.groupBy(key, "term", "idf").agg((F.count("*") * F.col("idf")).alias("w"))
+def term_counts(folded: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf`` restricted to a vocabulary. Whether that is broadcast is left to its real size at run time."""
+    return folded if vocab is None else folded.join(vocab.select("term"), "term", "left_semi").select(key, "term", "tf")
+
+
+def tfidf_long(folded: DataFrame, key: str, vocab: DataFrame, n_docs: Column) -> DataFrame:
+    """``key, term, weight``: tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1. Any vocabulary size.
+
+    Only the known terms of a document are shuffled, once, for its length.
+    """
+    idf = vocab.select("term", (F.log((n_docs + F.lit(1.0)) / (F.col("df") + 1)) + 1).alias("idf"))
+    raw = folded.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))  # a document's own terms
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
@@ -99,13 +114,18 @@ class TermSpace:
         return Normalizer(p=2.0, inputCol="_tfidf", outputCol=out).transform(scaled).drop("_tf", "_tfidf")
 
 
-def one_hot(df: DataFrame, column: str, out: str, missing: str = "unknown") -> tuple[DataFrame, list[str]]:
-    """One-hot vectors in label order; an unknown value becomes ``missing``. Returns the labels too."""
+def one_hot(df: DataFrame, column: str, out: str, missing: str = "unknown") -> tuple[DataFrame, DataFrame]:
+    """One-hot vectors in label order; an unknown value becomes ``missing``. Also the labels as a table ``label, slot``.
+
+    Labels are numbered and joined in Spark. They are broadcast when the bytes counted allow it, else joined by a shuffle.
+    """
     filled = df.withColumn("_v", F.coalesce(column, F.lit(missing)))
-    index = StringIndexer(inputCol="_v", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
-    encoder = OneHotEncoder(inputCol="_i", outputCol=out, dropLast=True)  # drops the slot for unseen values
-    indexed = index.transform(filled)
-    return encoder.fit(indexed).transform(indexed).drop("_v", "_i"), list(index.labels)
+    labels = with_row_index(filled.select(F.col("_v").alias("label")).distinct(), ["label"], "slot")
+    slots = labels.select(F.col("label").alias("_v"), F.col("slot").cast("double").alias("_slot"))
+    small = (labels.agg(F.sum(F.octet_length("label") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = filled.join(F.broadcast(slots) if small else slots, "_v")
+    encoder = OneHotEncoder(inputCol="_slot", outputCol=out, dropLast=False).fit(slots)
+    return encoder.transform(joined).drop("_v", "_slot"), labels
 
 
 def standardize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:

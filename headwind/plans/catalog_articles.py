@@ -10,7 +10,7 @@ from headwind.operators import annotate, features, ingest, rows
 from headwind.plans.catalog_market import r6
 from headwind.plans.fixtures import ARTICLES, NEWS, PAGES, articles, news, pages_of_events, table
 from headwind.plans.registry import query
-from headwind.session import spread
+from headwind.session import cut
 
 
 def prepared(spark, sf):
@@ -50,11 +50,11 @@ def _(spark, sf):
 @query(
     "a5_last_thirty_days",
     f"""with {PAGES}, n as (select max(published_at) as now from items) select url from items, n
-    where published_at >= now - interval 7 day and published_at <= now""",
+    where published_at >= now - interval 30 day and published_at <= now""",
 )
 def _(spark, sf):
     all_items = items(spark, sf)
-    lo, hi = ingest.last_days(all_items.agg(F.max("published_at").alias("now")).scalar(), 7)
+    lo, hi = ingest.last_days(all_items.agg(F.max("published_at").alias("now")).scalar(), 30)
     return all_items.where(ingest.in_range(F.col("published_at"), lo, hi)).select("url")
 
 
@@ -425,7 +425,7 @@ def _(spark, sf):
 
 _TALK = """talk as (select conv_id * 1000 + turn as key, split_part(text, chr(10), 1) as title, text, cast(row_number() over (order by conv_id, turn) - 1 as bigint) as i,
   count(*) over () as total from conversations),
-placed as (select *, i // 10 as batch, i % 10 as slot from talk where i < total - total % 10)"""
+placed as (select *, i // 10 as batch, i % 10 as slot from talk)"""
 
 
 def talk_of(conversations):
@@ -446,9 +446,9 @@ def _annotator():
     return annotate.lexicon_annotator(set(_VERBS), set(_ADJECTIVES), {"the", "la", "en"}, {"is", "der", "de"})
 
 
-@query("c1_batches", f"with {_TALK} select batch, cast(min(key) as bigint) as first_key, count(*) as n from placed where title is not null and text is not null group by batch")
+@query("c1_batches", f"with {_TALK} select batch, cast(min(key) as bigint) as first_key, count(*) as n from placed where i < total - total % 10 and title is not null and text is not null group by batch")
 def _(spark, sf):
-    batches = annotate.make_batches(_talk(spark, sf), "key", ["conv_id", "turn"])
+    batches = annotate.make_batches(_talk(spark, sf), "key", ["conv_id", "turn"], drop_tail=True)
     return batches.select(
         "batch", F.array_min(F.transform("records", lambda r: r["key"])).alias("first_key"), F.size("records").cast("long").alias("n")
     )
@@ -498,15 +498,15 @@ def _(spark, sf):
 @query(
     "c4_c6_failed_batches",
     f"with {_TALK} select batch, count(*) as n, 'no JSON array in the answer' as error from placed group by batch having count(*) filter (role_like) > 0".replace(
-        "role_like", "text like '%?%'"
+        "role_like", "text like '%ß%'"
     ),
 )
 def _(spark, sf):
-    # an annotator that answers in prose whenever a record asks a question
+    # an annotator that answers in prose whenever a record holds a certain letter
     plain = _annotator()
 
     def moody(prompt, records):
-        return "I would rather not." if any("?" in r["text"] for r in records) else plain(prompt, records)
+        return "I would rather not." if any("ß" in r["text"] for r in records) else plain(prompt, records)
 
     answered = annotate.annotate(_talk(spark, sf), moody, "key", ["conv_id", "turn"])
     _, bad = annotate.split_outcomes(answered)
@@ -515,11 +515,12 @@ def _(spark, sf):
 
 @query(
     "c9_pending_after_resume",
-    f"""with {_TALK} select key from talk where key not in (select key from placed)""",
+    f"""with {_TALK} select key from talk where i >= total - total % 10""",
 )
 def _(spark, sf):
+    # a first run that leaves the short last batch for later
     talk = _talk(spark, sf)
-    good, _ = annotate.split_outcomes(annotate.annotate(talk, _annotator(), "key", ["conv_id", "turn"]))
+    good, _ = annotate.split_outcomes(annotate.annotate(talk, _annotator(), "key", ["conv_id", "turn"], drop_tail=True))
     return annotate.pending(talk, annotate.scatter(good), "key").select("key")
 
 
@@ -540,13 +541,13 @@ _TERMS = f"doc_words as (select doc_id, {_NO_STOP} as w from documents), doc_ter
 
 
 def _docs(spark, sf, ngrams=(1, 2)):
-    return spread(table(spark, sf, "documents")).select("doc_id", terms(F.col("text"), _STOP, ngrams).alias("terms"))
+    return table(spark, sf, "documents").select("doc_id", terms(F.col("text"), _STOP, ngrams).alias("terms"))
 
 
 @query("h1_token_counts", f"select doc_id, len({_WORDS}) as n, md5(array_to_string({_WORDS}, ' ')) as digest from documents")
 def _(spark, sf):
     t = tokens(F.col("text"))
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("digest")
     )
 
@@ -582,8 +583,8 @@ def _(spark, sf):
     f"with {_TERMS}, {_VOCAB} select doc_id, term, count(*) as tf from x where term in (select term from v) group by all",
 )
 def _(spark, sf):
-    docs = _docs(spark, sf)
-    return features.term_counts(docs, "doc_id", "terms", features.vocabulary(docs, "terms", 100), 100)
+    folded = cut(features.fold_terms(_docs(spark, sf), "doc_id", "terms"))
+    return features.term_counts(folded, "doc_id", features.vocabulary_of(folded, 100))
 
 
 _TFIDF = f"""with {_TERMS}, {_VOCAB}, c as (select doc_id, term, count(*) as tf from x where term in (select term from v) group by all),
@@ -593,8 +594,9 @@ _TFIDF = f"""with {_TERMS}, {_VOCAB}, c as (select doc_id, term, count(*) as tf
 
 @query("h7_tfidf_long", _TFIDF)
 def _(spark, sf):
-    docs = _docs(spark, sf)
-    out = features.tfidf_long(docs, "doc_id", "terms", features.vocabulary(docs, "terms", 100), 100)
+    folded = cut(features.fold_terms(_docs(spark, sf), "doc_id", "terms"))
+    n_docs = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    out = features.tfidf_long(folded, "doc_id", features.vocabulary_of(folded, 100), n_docs)
     return out.select("doc_id", "term", r6("weight"))
 
 

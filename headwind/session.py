@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+    if configured is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="headwind-"))
@@ -52,12 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, spread over all cores before CPU-heavy work; a larger one unchanged.
-
-    Only for plain scans: what is shuffled here is always small.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

@@ -187,7 +187,8 @@ def test_scaling(rows):
 def test_one_hot_and_bounds(rows):
     df = rows([("b",), ("a",), (None,)], "s string")
     out, labels = features.one_hot(df, "s", "v")
-    assert labels == ["a", "b", "unknown"]
+    assert [tuple(r) for r in labels.orderBy("slot").collect()] == [("a", 0), ("b", 1), ("unknown", 2)]
+    out = out.orderBy(F.col("s").desc_nulls_last())
     assert [list(r[0]) for r in out.select(vector_to_array("v")).collect()] == [[0, 1, 0], [1, 0, 0], [0, 0, 1]]
     docs = rows([(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, ["a", "c"])], "id int, t array<string>")
     assert {tuple(r) for r in features.vocabulary(docs, "t", min_df=2, max_df=0.95).collect()} == {("c", 2, 2)}
