@@ -139,9 +139,14 @@ def profile(df: DataFrame, by: str, means: list[str], distributions: dict[str, i
     scalars = base.select(by, F.explode(F.array(*scalar_rows)).alias("r")).select(by, "r.*")
     if not distributions:
         return scalars
-    limit = max(k or ALL_VALUES for k in distributions.values())
-    ranked = top_k(folded.where("section <> 'size'"), [by, "section"], [F.desc("n"), F.asc("key")], limit, "ord")
-    sized = ranked.where("ord <= _k").join(base.select(by, F.col("n").alias("size")), by)
+    order = [F.desc("n"), F.asc("key")]
+    # each limit is ranked on its own, so that Spark trims every task to it before the shuffle
+    parts = [
+        top_k(folded.where((F.col("section") != "size") & (F.col("_k") == k)), [by, "section"], order, k, "ord")
+        for k in sorted({k or ALL_VALUES for k in distributions.values()})
+    ]
+    ranked = reduce(DataFrame.unionByName, parts)
+    sized = ranked.join(base.select(by, F.col("n").alias("size")), by)
     dist = sized.select(
         by, "section", F.col("ord").cast("long"), "key", "n", (F.col("n") * F.lit(100.0) / F.col("size")).alias("value")
     )

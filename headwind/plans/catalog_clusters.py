@@ -1,6 +1,7 @@
 """Queries on features and clusterings: assignment, scores, density, factors, names, whole clusterings, reports."""
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headwind.operators import naming
@@ -12,7 +13,7 @@ from headwind.plans.catalog_articles import _STOP, prepared
 from headwind.plans.catalog_market import r6
 from headwind.plans.fixtures import ARTICLES, VECTORS, articles, table, vectors
 from headwind.plans.registry import query
-from headwind.session import cut, spread
+from headwind.session import cut
 
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -111,7 +112,7 @@ def _(spark, sf):
 
 # --- density --------------------------------------------------------------------------------------------------------
 
-EPS, MIN_SAMPLES = 1.22, 5
+EPS, MIN_SAMPLES = 1.16, 5
 _NEAR = f"""near as (select p.id as a, q.id as b from pts p, pts q where sqrt({d2('p.x', 'q.x')}) <= {EPS}),
   cnt as (select a as id, count(*) as n from near group by a)"""
 
@@ -143,19 +144,36 @@ def _(spark, sf):
 @query("i1_kmeans")
 def _(spark, sf):
     points = clusters.to_vector(vectors(spark, sf), "x")
-    found = clustering.fit_kmeans(points, "features", 5, n_init=3)
+    found = clustering.fit_kmeans(points, "features", 5)
     return found.label(points, "group").groupBy("group").agg(F.count("*").alias("n"))
 
 
+@query(
+    "i1_kmeans_facts",
+    "select count(*) as n, 5 as clusters, count(*) as placed, 0::bigint as misplaced, true as cost_matches from embeddings",
+)
+def _(spark, sf):
+    """Every row has its nearest centre, the sizes sum up, and the cost is the sum of the gaps."""
+    points = vectors(spark, sf)
+    found = clustering.fit_kmeans(clusters.to_vector(points, "x"), "features", 5)
+    labelled = found.label(clusters.to_vector(points, "x"), "group").select("id", "x", "group")
+    near = clustering.assign(labelled, "x", found.centers)
+    cost = F.abs(F.sum("d2") - F.lit(found.cost)) <= 1e-6 * found.cost
+    return near.agg(
+        F.count("*").alias("n"), F.count_distinct("group").cast("int").alias("clusters"), F.lit(sum(found.sizes)).cast("long").alias("placed"),
+        F.count_if(F.col("assigned") != F.col("group")).alias("misplaced"), cost.alias("cost_matches"),
+    )
+
+
 @query("i2_elbow")
 def _(spark, sf):
-    return clustering.elbow(clusters.to_vector(vectors(spark, sf), "x"), "features", range(2, 6), n_init=2)
+    return clustering.elbow(clusters.to_vector(vectors(spark, sf), "x"), "features", range(2, 15))
 
 
 @query("i3_best_k")
 def _(spark, sf):
     points = clusters.to_vector(vectors(spark, sf), "x")
-    return clustering.best_k(points, "id", "features", 4, "calinski_harabasz", n_init=1)[1]
+    return clustering.best_k(points, "id", "features", 8, "silhouette")[1]
 
 
 @query(
@@ -175,9 +193,29 @@ def _(spark, sf):
     return out.select("id", *[F.get("components", F.lit(i)).alias(f"pc{i + 1}") for i in range(3)])
 
 
+@query(
+    "i7_pca_facts",
+    f"""with {VECTORS}, cells as (select generate_subscripts(x, 1) as i, unnest(x) as v from pts), t as (select sum(v) as s from (select var_samp(v) as v from cells group by i))
+    select i::integer as i, j::integer as j, 0.0::double as value from range(1, 4) a(i), range(1, 4) b(j) where i < j
+    union all select i::integer, 0, 0.0::double from range(1, 4) a(i) union all select 0, 0, round(s, 6) from t""",
+)
+def _(spark, sf):
+    """Components are centred and uncorrelated; with all of them the total variance stays (line 0, 0)."""
+    points = clusters.to_vector(vectors(spark, sf), "x")
+    width = len(points.first()["x"])
+    rows = decomposition.pca(points, "features", width).select("components")
+    pcs = [F.get("components", F.lit(i)) for i in range(3)]
+    lines = [(i + 1, j + 1, F.covar_samp(pcs[i], pcs[j])) for i in range(3) for j in range(i + 1, 3)] + [(i + 1, 0, F.avg(pcs[i])) for i in range(3)]
+    total = F.aggregate(F.array(*[F.var_samp(F.get("components", F.lit(i))) for i in range(width)]), F.lit(0.0), lambda a, v: a + v)
+    facts = rows.agg(F.array(*[v for *_, v in lines], total).alias("v"))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j, _ in [*lines, (0, 0, None)]])
+    long = facts.select(F.explode(F.arrays_zip(names.alias("at"), F.col("v").alias("v"))).alias("r"))
+    return long.select("r.at.i", "r.at.j", r6("r.v", "value"))
+
+
 @query("i8_truncated_svd")
 def _(spark, sf):
-    svd = decomposition.truncated_svd(clusters.to_vector(vectors(spark, sf), "x"), "features", 10)
+    svd = decomposition.truncated_svd(clusters.to_vector(vectors(spark, sf), "x"), "features", 50)
     return svd.rows.select("id", F.get(vector_to_array("reduced"), F.lit(0)).alias("first"))
 
 
@@ -187,9 +225,11 @@ def _(spark, sf):
     select cast(dense_rank() over (order by cluster) - 1 as integer) as cluster, cast(rank as integer) as rank, feature, round(m, 6) + 0.0 as value from r where rank <= 10""",
 )
 def _(spark, sf):
-    centers, _labels = _label_centers(vectors(spark, sf))
-    out = clustering.top_features(spark, centers, [f"f{i}" for i in range(len(centers[0]))])
-    return out.select("cluster", "rank", "feature", r6("value"))
+    centers = quality.centroids(vectors(spark, sf), "x", "cluster")
+    out = clustering.top_coordinates(centers, "cluster", "center")
+    numbered = centers.select("cluster", (F.dense_rank().over(W.orderBy("cluster")) - 1).alias("no"))  # a row per cluster
+    named = out.join(numbered, "cluster").withColumn("feature", F.concat(F.lit("f"), "i"))
+    return named.select(F.col("no").alias("cluster"), "rank", "feature", r6("value"))
 
 
 @query("i12_merge_order")
@@ -208,13 +248,14 @@ def _(spark, sf):
 
 # --- non-negative factors -------------------------------------------------------------------------------------------
 
-TOPICS = 3
+TOPICS = 12
 
 
 def _counts(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select("doc_id", terms(F.col("text"), _STOP).alias("terms"))
-    vocab = cut(features.vocabulary(docs, "terms", min_df=2, max_df=0.95))
-    return features.term_counts(docs, "doc_id", "terms", vocab, vocab.count())
+    docs = table(spark, sf, "documents").select("doc_id", terms(F.col("text"), _STOP).alias("terms"))
+    folded = cut(features.fold_terms(docs, "doc_id", "terms"))
+    n_docs = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    return features.term_counts(folded, "doc_id", features.vocabulary_of(folded, min_df=2, max_df=0.95, n_docs=n_docs))
 
 
 def _start_sql(key, j, seed):
@@ -257,9 +298,24 @@ def _(spark, sf):
     return decomposition.topic_words(out, "term", TOPICS).select("topic", "term", r6("weight"), "rank")
 
 
+@query("i9_factor_facts", "select 0::bigint as negative, true as falling, true as loss_matches")
+def _(spark, sf):
+    """Factors are not negative, the loss never grows, and the last one is the squared error worked out from W and H."""
+    counts = cut(_counts(spark, sf))
+    got = decomposition.nmf(counts, "doc_id", "term", "tf", TOPICS, rounds=6)
+    ws, hs = [f"w{j}" for j in range(TOPICS)], [f"h{j}" for j in range(TOPICS)]
+    fit = sum((F.col(w) * F.col(h) for w, h in zip(ws, hs)), F.lit(0.0))
+    at_cells = counts.join(got.rows, "doc_id").join(got.terms, "term").agg(F.sum(F.col("tf") * F.col("tf") - 2 * F.col("tf") * fit)).first()[0]
+    (ww, _), (hh, _) = decomposition._gram(got.rows, ws), decomposition._gram(got.terms, hs)
+    error = at_cells + float((ww * hh).sum())
+    negative = got.rows.where(F.least(*ws) < 0).count() + got.terms.where(F.least(*hs) < 0).count()
+    falling = all(a >= b for a, b in zip(got.losses, got.losses[1:]))
+    return spark.createDataFrame([(negative, falling, abs(error - got.losses[-1]) <= 1e-6 * abs(error))], "negative long, falling boolean, loss_matches boolean")
+
+
 @query("i9_factor_losses")
 def _(spark, sf):
-    losses = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=5).losses
+    losses = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=50).losses
     return spark.createDataFrame(list(enumerate(losses, 1)), "round int, loss double")
 
 
@@ -387,7 +443,7 @@ def _(spark, sf):
 
 @query("i18_sentiment_clusters")
 def _(spark, sf):
-    rows = clusters.sentiment_clusters(prepared(spark, sf), n_init=2)
+    rows = clusters.sentiment_clusters(prepared(spark, sf))
     return rows.groupBy("sentiment_cluster", "sentiment_cluster_label").agg(
         F.count("*").alias("n"), F.avg("sentiment_polarity").alias("avg_polarity")
     )
@@ -395,25 +451,25 @@ def _(spark, sf):
 
 @query("i19_subject_clusters")
 def _(spark, sf):
-    rows, _scores = clusters.subject_clusters(prepared(spark, sf), "row_id", max_k=3, n_init=1, dims=20)
+    rows, _scores = clusters.subject_clusters(prepared(spark, sf), "row_id")
     return agg.crosstab(rows, "crypto_cluster_label", "crypto_category")
 
 
 @query("i20_source_clusters")
 def _(spark, sf):
-    rows, _scores = clusters.source_clusters(prepared(spark, sf), "row_id", max_k=3, n_init=1, dims=20)
+    rows, _scores = clusters.source_clusters(prepared(spark, sf), "row_id")
     return agg.crosstab(rows, "source_cluster_label", "source")
 
 
 @query("i21_topic_clusters")
 def _(spark, sf):
-    found = clusters.topic_clusters(prepared(spark, sf), "row_id", topics=3, k=3, rounds=2, n_init=1)
+    found = clusters.topic_clusters(prepared(spark, sf), "row_id")
     return found.rows.groupBy("topic_cluster", "cluster_name").agg(F.count("*").alias("n"))
 
 
 @query("i22_general_clusters")
 def _(spark, sf):
-    rows = clusters.general_clusters(prepared(spark, sf), n_init=1)
+    rows = clusters.general_clusters(prepared(spark, sf))
     return rows.groupBy("cluster", "cluster_label").agg(F.count("*").alias("n"))
 
 

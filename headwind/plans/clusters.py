@@ -26,7 +26,8 @@ def _words(df: DataFrame, column: str, out: str, stop: list[str] | None, ngrams=
 
 
 def _label(df: DataFrame, names: DataFrame, cluster: str, out: str) -> DataFrame:
-    return df.join(names.withColumnRenamed("name", out), cluster, "left")
+    """The name of each row's cluster; there is one name per cluster, so the articles themselves are never shuffled."""
+    return df.join(F.broadcast(names.withColumnRenamed("name", out)), cluster, "left")
 
 
 def sentiment_clusters(df: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42) -> DataFrame:
@@ -38,7 +39,8 @@ def sentiment_clusters(df: DataFrame, k: int = 3, n_init: int = 10, seed: int =
     ready = cut(features.assemble(scaled, [f"{c}_z" for c in TONE_FEATURES]).drop(*[f"{c}_z" for c in TONE_FEATURES]))
     rows = clustering.fit_kmeans(ready, "features", k, n_init, seed).label(ready, "sentiment_cluster").drop("features")
     labels = clustering.order_by_polarity(rows, "sentiment_cluster", "sentiment_polarity", fixed.POLARITY_LABELS)
-    return rows.join(labels.select("sentiment_cluster", F.col("label").alias("sentiment_cluster_label")), "sentiment_cluster")
+    named = labels.select("sentiment_cluster", F.col("label").alias("name"))
+    return _label(rows, named, "sentiment_cluster", "sentiment_cluster_label")
 
 
 def subject_features(df: DataFrame, stop: list[str] | None = None, title_terms: int = 200, word_terms: int = 100) -> DataFrame:
@@ -98,8 +100,9 @@ def text_factors(
 ) -> decomposition.Factors:
     """Non-negative topics of one text column, terms in at least 2 and at most 95 % of the articles."""
     worded = _words(df.select(key, column), column, "_t", stop)
-    vocab = cut(features.vocabulary(worded, "_t", min_df=2, max_df=0.95))
-    counts = features.term_counts(worded, key, "_t", vocab, vocab.count())
+    folded = cut(features.fold_terms(worded, key, "_t"))
+    n_docs = df.agg(F.count("*").alias("n")).scalar()
+    counts = features.term_counts(folded, key, features.vocabulary_of(folded, min_df=2, max_df=0.95, n_docs=n_docs))
     return decomposition.nmf(counts, key, "term", "tf", topics, rounds, seed)
 
 
