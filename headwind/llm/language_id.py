@@ -32,7 +32,8 @@ WORDS = 20_000  # words kept per language
 GRAMS = 8_000  # n-grams kept per language and length
 LONGEST = 4
 SMOOTH = 0.5
-CACHED_BYTES = 48 << 20  # of vectors in a worker's cache
+CACHED_BYTES = 24 << 20  # of vectors in a worker's cache
+LONG = 64  # longer chunks are scored but not remembered
 SLICE = 128
 UNDETERMINED = "und"
 MIN_SCORE = 0.5  # below it the pipeline rejects a document
@@ -111,31 +112,29 @@ class Model:
                 continue
             keys, matrix = list(table), np.array(list(table.values())) + SMOOTH
             logs = np.log(matrix) - np.log(matrix.sum(0))
-            self.tables.append(dict(zip(keys, logs)))
+            self.tables.append(dict(zip(keys, map(tuple, logs.tolist()))))
         self.default = int(np.argmax(self.sample)) if size else 0
 
-    def word(self, word: str) -> np.ndarray | None:
+    def word(self, word: str) -> tuple[float, ...] | None:
         """A log score for each language, or None when no part of the word is known."""
         known = self.tables[0].get(word)
         if known is not None:
             return known
         for n in range(LONGEST, 0, -1):
-            found = [v for v in map(self.tables[n].get, grams(word, n)) if v is not None]
+            look = self.tables[n].get
+            found = [v for v in map(look, grams(word, n)) if v is not None]
             if found:
-                return sum(found) / len(found)
+                return tuple(sum(column) / len(found) for column in zip(*found))
         return None
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        """Sums over the words of a chunk: log scores, words scored, letters."""
-        size = len(self.langs)
-        out = np.zeros(size + 2)
-        for word in _WORD.findall(chunk):
-            score = self.word(word)
-            if score is not None and size:
-                out[:size] += score
-                out[size] += 1
-        out[-1] = sum(map(str.isalpha, chunk))
-        return out
+    def chunk(self, chunk: str) -> list[float]:
+        """Sums over the words of a chunk: log scores, words scored, and whether there is a letter."""
+        letter = 1.0 if any(map(str.isalpha, chunk)) else 0.0
+        scores = [score for score in map(self.word, _WORD.findall(chunk)) if score is not None] if self.langs else []
+        if len(scores) == 1:
+            return [*scores[0], 1.0, letter]
+        sums = [sum(column) for column in zip(*scores)] if scores else [0.0] * len(self.langs)
+        return [*sums, float(len(scores)), letter]
 
     def decide(self, sums: np.ndarray) -> tuple[str, float]:
         size = len(self.langs)
@@ -153,26 +152,32 @@ class _Cache:
     """Vectors of chunks seen by this worker, in one growing array that starts anew when it is full."""
 
     def __init__(self, model: Model):
-        self.model, self.at = model, {}
+        self.model, self.at, self.used = model, {}, 0
         width = len(model.langs) + 2
-        self.most = max(1_000, min(300_000, CACHED_BYTES // (8 * width)))
+        self.most = max(1_000, min(500_000, CACHED_BYTES // (8 * width)))
         self.rows = np.zeros((4_096, width))
 
-    def sums(self, texts_: list[list[str]]) -> list[np.ndarray]:
-        missing = set(chain.from_iterable(texts_)) - self.at.keys()
-        if len(self.at) + len(missing) > self.most:
+    def sums(self, chunked: list[list[str]]) -> list[np.ndarray]:
+        if self.used >= self.most:
             self.at.clear()
-            missing = set(chain.from_iterable(texts_))
-        need = len(self.at) + len(missing)
+            self.used = 0
+        found = [list(map(self.at.get, t)) for t in chunked]
+        gaps = [[(i, t[i]) for i, row in enumerate(f) if row is None] if None in f else [] for f, t in zip(found, chunked)]
+        fresh = list({c for gap in gaps for _, c in gap})
+        need = self.used + len(fresh)
         if need > len(self.rows):
-            grown = np.zeros((max(need, min(2 * len(self.rows), self.most)), self.rows.shape[1]))
-            grown[: len(self.rows)] = self.rows
+            grown = np.zeros((max(need, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[: self.used] = self.rows[: self.used]
             self.rows = grown
-        for c in missing:
-            self.rows[len(self.at)] = self.model.chunk(c)
-            self.at[c] = len(self.at)
-        look = self.at.__getitem__
-        return [self.rows[np.fromiter(map(look, t), np.int64, len(t))].sum(0) for t in texts_]
+        if fresh:
+            self.rows[self.used : need] = [self.model.chunk(c) for c in fresh]
+        spot = dict(zip(fresh, range(self.used, need)))
+        self.used = need
+        for f, gap in zip(found, gaps):
+            for i, c in gap:
+                f[i] = spot[c]
+        self.at.update((c, i) for c, i in spot.items() if len(c) <= LONG)
+        return [self.rows[f].sum(0) if f else np.zeros(self.rows.shape[1]) for f in found]
 
 
 _caches: dict[int, _Cache] = {}

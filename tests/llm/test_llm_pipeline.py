@@ -20,7 +20,7 @@ def by_hand(spark, docs):
     model = language_id.Model(language_id.learn(docs))
     kept = []
     for r in rows:
-        sums = sum((model.chunk(w) for w in (r["text"] or "").lower().split()), np.zeros(len(model.langs) + 2))
+        sums = sum((np.array(model.chunk(w)) for w in (r["text"] or "").lower().split()), np.zeros(len(model.langs) + 2))
         lang, score = model.decide(sums)
         if lang != "und" and score >= 0.5:
             kept.append(r)
