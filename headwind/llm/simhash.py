@@ -344,14 +344,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one row for each such id; rows with a null id all stay.
 
-    Only ids meet: the ids to keep are joined with the rows, and texts are compared only where a kept id repeats.
+    Rows are shuffled once, by id, to meet the ids that stay; only rows of a repeated id are compared with each other.
     """
     found = near_duplicates(docs, id_col, text_col, words)
-    leaders = keep(found.where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct(), "leaders")
-    repeated = keep(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_repeated")), "repeated")
-    kept = docs.join(leaders, F.col(id_col).cast("long") == F.col("_leader"), "left_semi")
-    once = kept.join(repeated, F.col(id_col) == F.col("_repeated"), "left_anti")
-    again = kept.join(repeated, F.col(id_col) == F.col("_repeated"), "left_semi")
-    rest = [F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")]
-    first = again.groupBy(F.col(id_col).alias("_id")).agg(*rest).select("_row.*")
-    return once.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
+    counted = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("_leads"), (F.count("*") > 1).alias("_again")
+    )
+    leaders = keep(counted.where("_leads").select(F.col("doc_id").alias("_leader"), "_again"), "leaders")
+    # a shuffle at every size: the ids that stay grow with the input, and so may not be sent to every task
+    kept = docs.join(leaders.hint("merge"), F.col(id_col).cast("long") == F.col("_leader"))
+    columns = [F.col(c) for c in docs.columns]
+    once = kept.where("not _again").select(*columns)
+    again = kept.where("_again").groupBy("_leader").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
