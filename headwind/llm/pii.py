@@ -42,6 +42,7 @@ SHAPES = 5_000  # shapes with a weight of their own
 ROUNDS = 10
 DAMPING = 0.5
 CAUTION = 2.0  # how much the shape alone counts against a kind that no pattern confirmed
+ALIKE = 20.0  # pairs of alike tokens taken to agree before any are counted; only pairs that patterns confirm count
 SLICE = 128
 OTHER = len(KINDS)  # the label of tokens that are nothing personal
 
@@ -153,7 +154,7 @@ class Weights:
     def __init__(self, counts: dict[tuple, int]):
         n = OTHER + 1
         shapes: dict[str, np.ndarray] = {}
-        prior, chain, agree, differ = np.ones(n), np.full((n, n), 0.5), 1.0, 1.0
+        prior, chain, agree, differ = np.ones(n), np.full((n, n), 0.5), ALIKE, 1.0
         for (what, a, b), c in counts.items():
             if what == "shape":
                 shapes.setdefault(a, np.zeros(n))[int(b)] += c
@@ -168,7 +169,7 @@ class Weights:
         self.shapes = {s: np.log((v + prior) / (v.sum() + 1.0)) + penalty for s, v in shapes.items()}
         marginal = chain.sum(1, keepdims=True) * chain.sum(0, keepdims=True) / chain.sum()
         self.chain = np.clip(np.log(chain / marginal), -2.0, 2.0)
-        self.skip = np.eye(n) * float(np.clip(np.log(agree / differ), 1.0, 6.0))
+        self.skip = np.eye(n) * float(np.clip(np.log(agree / differ), 0.0, 6.0))
 
 
 def edges_of(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -282,7 +283,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                     counts["shape", shape(text[start:end]), str(k)] += 1
                 chain, skip = edges_of(text, tokens)
                 counts.update(("chain", str(label[i]), str(label[j])) for i, j in chain)
-                counts.update(("skip", str(label[i]), str(label[j])) for i, j in skip if min(label[i], label[j]) < OTHER)
+                counts.update(("skip", str(label[i]), str(label[j])) for i, j in skip if max(label[i], label[j]) < OTHER)
         keys = list(counts)
         columns = {name: pa.array([k[at] for k in keys], pa.string()) for at, name in enumerate(("what", "a", "b"))}
         yield pa.RecordBatch.from_pydict(columns | {"n": pa.array([counts[k] for k in keys], pa.int64())})
