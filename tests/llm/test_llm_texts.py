@@ -30,7 +30,8 @@ HARD = [
 
 def frame(spark, values=HARD):
     rows = [(k, v, "en" if k % 2 else None, "s", len(v or ""), "x", "y", "z", "t", "i", 1, "f", 2, "b") for k, v in enumerate(values)]
-    rows += [rows[7], (7, "another text of the same id", "en", *rows[7][3:]), (None, "null id, one two three", "de", *rows[7][3:])] if values else []
+    if len(rows) > 7:
+        rows += [rows[7], (7, "another text of the same id", "en", *rows[7][3:]), (None, "null id, one two three", "de", *rows[7][3:])]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -241,7 +242,7 @@ def test_packing_merges_over_tasks(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(len(sizes)))
     used = assert_packed(got)
     best = int(packing.best_fit(sizes, 4096)[0].max()) + 1
-    assert used <= best * 1.03 + 1
+    assert used <= best * 1.06 + 1  # bins of tasks with some forty pieces each, merged whole
     assert_packed(packing.pack(pieces, group=100).collect())
 
 
