@@ -13,7 +13,6 @@ in the order of the task's rows; a piece goes to the bin with the least room tha
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,12 +32,14 @@ FULL = 8  # a bin with at most this much room is nearly full
 FAN_IN = 8
 GROUP = 200_000  # bins that meet in one task at most, on average
 LOCAL = 50_000  # pieces that a task packs at a time
-CACHED = 800_000
+MARKS = ".,;:!?"
+NEAR = 30_000  # words met first, and so the frequent ones, in a small table that stays
+CACHED = 800_000  # other words that a worker remembers before it starts anew
 SLICE = 128
 LONG = 64
 
-_ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
-_caches: dict[str, dict[str, bytes]] = {}
+ODD = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizer
+_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -49,9 +50,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer_path)
-        specials = special_strings(tok)
+        apart = [*ODD, *special_strings(tok)]
         sizes = byte_lengths(tok)
-        known = _caches.setdefault(tokenizer_path, {})
+        near, far = _caches.setdefault(tokenizer_path, ({}, {}))
         end = np.array([END_ID], dtype="<u4").tobytes()
 
         def whole(text: str) -> bytes:
@@ -59,26 +60,29 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
 
         for batch in slices(batches, SLICE):
             values = texts(batch.column(1))
-            if len(known) > CACHED:
-                known.clear()
-            look, cut, gaps, missed = known.get, [], [], set()
+            if len(far) > CACHED:
+                far.clear()
+            cut, gaps, fresh = [], [], {}
             for text in values:
-                if _ODD.search(text) or any(s in text for s in specials):
-                    cut.append(None)
-                    gaps.append([])
-                    continue
-                words = text.split()
-                found = list(map(look, words))
-                gap = [(i, words[i]) for i, ids in enumerate(found) if ids is None] if None in found else []
-                missed.update(w for _, w in gap)
+                gap: list[tuple[int, str]] = []
+                if any(s in text for s in apart):
+                    found = None
+                else:
+                    words = text.split()
+                    found = list(map(near.get, words))
+                    if None in found:
+                        for i in [i for i, ids in enumerate(found) if ids is None]:
+                            ids = found[i] = far.get(words[i])
+                            if ids is None:
+                                gap.append((i, words[i]))
                 cut.append(found)
                 gaps.append(gap)
-            fresh = list(missed)
-            known.update(zip(fresh, word_ids(tok, sizes, fresh)))
+                fresh.update(dict.fromkeys(w for _, w in gap))
+            _learn(tok, sizes, far, fresh)
             doc, piece, start, length, crc = [], [], [], [], []
             for key, text, found, gap in zip(batch.column(0).to_pylist(), values, cut, gaps):
                 for i, w in gap:
-                    found[i] = known[w]
+                    found[i] = fresh[w]
                 ids = (whole(text) if found is None else b"".join(found)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -87,9 +91,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                     start.append(at // 4)
                     length.append(len(own) // 4)
                     crc.append(zlib.crc32(own))
-            for w in fresh:
-                if len(w) > LONG:
-                    del known[w]
+            for w, ids in fresh.items():
+                if len(w) <= LONG:
+                    (near if len(near) < NEAR else far)[w] = ids
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
@@ -100,12 +104,43 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
-def word_ids(tokenizer, sizes: np.ndarray, words: list[str]) -> list[bytes]:
-    """The ids of each word as bytes; encoded together, with a space between them, and cut by the bytes of their tokens."""
+def _learn(tokenizer, sizes: np.ndarray, known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+    """Fill in the ids of new words. A word of plain letters and one mark after it is put together from the two, in lower
+    case, as the tokenizer itself takes them apart; other words are encoded as they stand."""
+    parts, plain, wanted = {}, {}, {}
+    for w in fresh:
+        mark = w[-1] if w[-1] in MARKS else ""
+        core = w[: len(w) - len(mark)]
+        low = core.lower()
+        if low.isalpha() and len(low) == len(core) and max(core) < "\u0250":
+            parts[w] = (low, mark)
+            if low not in known:
+                plain[low] = None
+            if mark and mark not in known:
+                plain[mark] = None
+        else:
+            wanted[w] = None
+    got = dict(zip(plain, word_ids(tokenizer, sizes, list(plain), normal=True)))
+    got |= dict(zip(wanted, word_ids(tokenizer, sizes, list(wanted))))
+    known.update((p, ids) for p, ids in got.items() if len(p) <= LONG)
+    for w in fresh:
+        if w in parts:
+            low, mark = parts[w]
+            ids = got.get(low) or known[low]
+            fresh[w] = ids + (got.get(mark) or known[mark]) if mark else ids
+        else:
+            fresh[w] = got[w]
+
+
+def word_ids(tokenizer, sizes: np.ndarray, words: list[str], normal: bool = False) -> list[bytes]:
+    """The ids of each word as bytes; encoded together, with a space between them, and cut by the bytes of their tokens.
+
+    ``normal`` says that the tokenizer's normalization would leave the words as they are.
+    """
     if not words:
         return []
     joined = " ".join(words)
-    parts = (tokenizer.normalizer.normalize_str(joined) if tokenizer.normalizer else joined).split(" ")
+    parts = words if normal or not tokenizer.normalizer else tokenizer.normalizer.normalize_str(joined).split(" ")
     ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
     ends = ends_at(sizes[ids], [len(p.encode()) for p in parts]) if len(parts) == len(words) else None
     if ends is None:
