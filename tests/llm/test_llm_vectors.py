@@ -105,3 +105,21 @@ def test_components(spark):
     alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert got == {k: v for k, v in label.items() if k not in alone}
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("noise", [0.3, 1e-4])
+def test_nearest_finds_separate_groups(spark, noise):
+    """Hundreds of groups, each of more members than a query asks for, in one shard."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(300, 32))
+    x = np.concatenate([c / np.linalg.norm(c) + noise * rng.normal(size=(24, 32)) / np.sqrt(32) for c in centres])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(len(x))]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(rows).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(got) == list(range(0, len(x), 20))
+    for i, own in got.items():
+        score = (x.astype(np.float64) * x[i].astype(np.float64)).sum(1)
+        best = [j for j in np.lexsort((np.arange(len(x)), -score)).tolist() if j != i][:20]
+        assert [own[k] for k in range(1, 21)] == best
