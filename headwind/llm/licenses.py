@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice: line by line, and with wrapped lines joined. Sentences are normalised (ASCII
 punctuation and white space to single spaces, lower case) and mapped to the identifiers of known licence sentences; what
-is not known is passed over. Ordered rules then match sequences of identifiers: each rule replaces its sequence by the
+is not known is passed over. A known sentence that the scan cuts in several is found where all its parts follow one
+another, and counts once. Ordered rules then match sequences of identifiers: each rule replaces its sequence by the
 name of a licence, so what a rule has used no later rule sees. Identifiers that no rule used are told as left over. Rules
 run on both cuts; a document's licences are those of either.
 
@@ -84,7 +85,14 @@ RULES = [
     ("All-Rights-Reserved", "AllRights"),
 ]
 
+# Rules that come before the others.
+NOTICES = [
+    ("GPL-2.0-or-later", "Gpl2Free GplHope GplEven GplSee"),
+    ("GPL-2.0-or-later", "Gpl2Free"),
+]
+
 BREAK = "\x01"
+WHOLE = "\x02"  # marks the identifier of a sentence put together from its parts
 BLANK = "[ \\t\\r\\n\\f]"
 NOISE = "[^A-Za-z0-9\\x{80}-\\x{10FFFF}]+"
 _NOISE = re.compile("[^A-Za-z0-9\x80-\U0010ffff]+")
@@ -95,12 +103,24 @@ def normalised(sentence: str) -> str:
     return _NOISE.sub(" ", sentence).strip().lower()
 
 
+def parts_of(sentence: str) -> tuple[str, ...]:
+    """The normalised parts in which the scan sees a known sentence."""
+    return tuple(normalised(p) for p in re.sub("([.!?;:])[ \t\r\n\f]+", "\\1" + BREAK, sentence).split(BREAK))
+
+
 def known(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Normalised sentences and their identifiers; one that the scan cuts in several has the identifier at its first part."""
-    out: dict[str, str] = {}
+    """First normalised parts and identifiers, for the SQL twin, which does not compare the others."""
+    return {parts_of(sentence)[0]: name for name, sentence in sentences.items()}
+
+
+def whole(sentences: dict[str, str] = SENTENCES) -> dict[tuple[str, ...], str]:
+    """The parts of each known sentence and its identifier; no two sentences may look the same to the scan."""
+    out: dict[tuple[str, ...], str] = {}
     for name, sentence in sentences.items():
-        parts = [normalised(p) for p in re.sub("([.!?;:])[ \t\r\n\f]+", "\\1" + BREAK, sentence).split(BREAK)]
-        out[parts[0]] = name
+        parts = tuple(p for p in parts_of(sentence) if p)
+        if not parts or parts in out:
+            raise ValueError(f"{name} has no words" if not parts else f"{name} and {out[parts]} have one normalised form")
+        out[parts] = name
     return out
 
 
@@ -114,18 +134,30 @@ def sentences_of(text: Column, joined: bool) -> Column:
     return F.split(F.regexp_replace(text, f"([.!?;:]){BLANK}+", "$1" + BREAK), BREAK)
 
 
-def identifiers(text: Column, names: dict[str, str], joined: bool) -> Column:
+def identifiers(text: Column, sentences: dict[tuple[str, ...], str], joined: bool) -> Column:
     """The identifiers of a text's known sentences in order."""
     found = F.transform(sentences_of(text, joined), lambda s: F.lower(F.trim(F.regexp_replace(s, NOISE, " "))))
+    names = {parts[0]: name for parts, name in sentences.items() if len(parts) == 1}
+    several = sorted((parts for parts in sentences if len(parts) > 1), key=len, reverse=True)
+    if several:
+        line = F.concat(F.lit(BREAK), F.array_join(F.filter(found, lambda s: s != ""), BREAK * 2), F.lit(BREAK))
+        for parts in several:
+            names[WHOLE + sentences[parts]] = sentences[parts]
+            line = F.replace(line, F.lit(BREAK + (BREAK * 2).join(parts) + BREAK), F.lit(BREAK + WHOLE + sentences[parts] + BREAK))
+        found = F.split(line, BREAK)
     table = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     return F.transform(F.filter(found, lambda s: s.isin(*names)), lambda s: table[s])
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str]] = RULES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sentences: dict[str, str] = SENTENCES,
+    rules: list[tuple[str, str]] = NOTICES + RULES,
 ) -> DataFrame:
     """``doc_id, n_sentences, identifiers, joined_identifiers, licenses, left_over`` for every row."""
-    names = known(sentences)
+    names = whole(sentences)
 
     def reduced(ids: Column) -> Column:
         sequence = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")

@@ -360,3 +360,36 @@ def test_license_rules(spark):
     hard = {r["doc_id"]: r for r in licenses.scan(frame(spark)).collect()}
     assert hard[0]["n_sentences"] == 0 and hard[0]["licenses"] == "" and licenses.scan(frame(spark, [])).collect() == []
     assert "Python" not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+GPL = """This program is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{b} either version {v} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_license_sentences_of_several_parts(spark):
+    gpl2, gpl3 = GPL.format(a=";", b=";", v=2), GPL.format(a=":", b=",", v=3)
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy"
+    cases = {
+        gpl2: ("GPL-2.0-or-later", ""), gpl3: ("GPL-3.0-or-later", ""), "# " + gpl2.replace("\n", "\n# "): ("GPL-2.0-or-later", ""),
+        " * " + gpl3.replace("\n", "\n * ").replace(" * \n", " *\n"): ("GPL-3.0-or-later", ""), gpl3.split("\n\n")[0]: ("GPL-3.0-or-later", ""),
+        gpl2.split("\n\n")[0]: ("GPL-2.0-or-later", ""), gpl2 + "\n\n" + gpl3: ("GPL-2.0-or-later,GPL-3.0-or-later", ""),
+        "This program is free software: take it.": ("", ""), GPL.format(a=";", b=";", v=1): ("", "GplEven,GplHope,GplSee"),
+        mpl.format("2.0"): ("MPL-2.0", ""), mpl.format("1.1"): ("", ""), "Version 1. 2.0. End": ("", ""),
+    }
+    rows = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [(rows[k]["licenses"], rows[k]["left_over"]) for k in range(len(cases))] == list(cases.values())
+    assert rows[0]["joined_identifiers"] == "Gpl2Free GplHope GplEven GplSee" and rows[1]["joined_identifiers"] == "GplFree GplHope GplEven GplSee"
+    used = {i for _, parts in licenses.NOTICES + licenses.RULES for i in parts.split()}
+    assert used <= set(licenses.SENTENCES)
+
+
+def test_license_sentences_of_one_form_are_refused(spark):
+    with pytest.raises(ValueError, match="one normalised form"):
+        licenses.scan(frame(spark), sentences={"A": "Some free: text.", "B": "some FREE; text"})
