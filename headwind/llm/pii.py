@@ -4,7 +4,7 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers fo
 The field then labels every token that holds a digit or an ``@`` (other tokens cannot be personal data here). Its
 potentials: a node weight from the token's shape, a chain weight between neighbours, and a skip weight between tokens of
 one document that are alike (same last seven digits, or same text but for case and outer marks), however far apart.
-Tokens under a base span are observed. Loopy sum-product passes messages until labels agree; tokens whose belief in a
+Tokens under a base span are observed; a text without one is labelled like any other, from shapes and links alone. Loopy sum-product passes messages until labels agree; tokens whose belief in a
 kind is at least one half become added spans. Weights are learned piecewise, from counts over a bounded sample of rows
 (``SAMPLE``, those with the smallest hash of the id), whole texts.
 
@@ -44,6 +44,7 @@ DAMPING = 0.5
 CAUTION = 2.0  # how much the shape alone counts against a kind that no pattern confirmed
 ALIKE = 20.0  # pairs of alike tokens taken to agree before any are counted; only pairs that patterns confirm count
 SLICE = 128
+TOGETHER = 20_000  # tokens of several texts that pass messages in one go; a text is never cut
 OTHER = len(KINDS)  # the label of tokens that are nothing personal
 
 _CANDIDATE = re.compile(r"[0-9@]")
@@ -225,14 +226,32 @@ def added_spans(values: list[str], base: list[list[Span]], weights: Weights) ->
     """The spans that the field adds to the base spans of each text."""
     out: list[list[Span]] = [[] for _ in values]
     held, unary, edges, kinds = [], [], [], []
-    size = 0
+
+    def label() -> None:
+        beliefs = infer(np.array(unary), np.array(edges, dtype=np.int64).reshape(-1, 2), np.stack([weights.chain, weights.skip]), np.array(kinds, dtype=np.int64))
+        best, sure = beliefs.argmax(1), beliefs.max(1) >= 0.5
+        for d, at, tokens, seen in held:
+            text, before = values[d], None
+            for i, (start, end) in enumerate(tokens):
+                kind = int(best[at + i])
+                if seen[i] >= 0 or kind == OTHER or not sure[at + i]:
+                    before = None
+                    continue
+                lo, hi = trimmed(text, start, end)
+                if before is not None and out[d] and out[d][-1][1] == kind and text[before:start].isspace() and start - before <= 8:
+                    out[d][-1] = (out[d][-1][0], kind, hi)
+                elif hi > lo:
+                    out[d].append((lo, kind, hi))
+                before = end
+        for whole in (held, unary, edges, kinds):
+            whole.clear()
+
     for d, (text, spans) in enumerate(zip(values, base)):
-        if not spans:
-            continue  # without an observed kind nothing can be carried to another token
         tokens = candidates(text)
         seen = observed(tokens, spans)
         if -1 not in seen:
             continue
+        size = len(unary)
         for (start, end), kind in zip(tokens, seen):
             if kind >= 0:
                 unary.append(np.where(np.arange(OTHER + 1) == kind, 0.0, -30.0))
@@ -242,24 +261,10 @@ def added_spans(values: list[str], base: list[list[Span]], weights: Weights) ->
         edges += [(size + i, size + j) for i, j in chain + skip]
         kinds += [0] * len(chain) + [1] * len(skip)
         held.append((d, size, tokens, seen))
-        size += len(tokens)
-    if not held:
-        return out
-    beliefs = infer(np.array(unary), np.array(edges, dtype=np.int64).reshape(-1, 2), np.stack([weights.chain, weights.skip]), np.array(kinds, dtype=np.int64))
-    best, sure = beliefs.argmax(1), beliefs.max(1) >= 0.5
-    for d, at, tokens, seen in held:
-        text, before = values[d], None
-        for i, (start, end) in enumerate(tokens):
-            kind = int(best[at + i])
-            if seen[i] >= 0 or kind == OTHER or not sure[at + i]:
-                before = None
-                continue
-            lo, hi = trimmed(text, start, end)
-            if before is not None and out[d] and out[d][-1][1] == kind and text[before:start].isspace() and start - before <= 8:
-                out[d][-1] = (out[d][-1][0], kind, hi)
-            elif hi > lo:
-                out[d].append((lo, kind, hi))
-            before = end
+        if len(unary) >= TOGETHER:
+            label()
+    if held:
+        label()
     return out
 
 

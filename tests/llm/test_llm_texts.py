@@ -393,3 +393,21 @@ def test_license_sentences_of_several_parts(spark):
 def test_license_sentences_of_one_form_are_refused(spark):
     with pytest.raises(ValueError, match="one normalised form"):
         licenses.scan(frame(spark), sentences={"A": "Some free: text.", "B": "some FREE; text"})
+
+
+def test_texts_without_a_base_span_are_labelled():
+    """A shape that patterns nearly always confirm is found in any text, whether or not another span is in it."""
+    weights = pii.Weights({("shape", "+d1-d3-d4", "3"): 99, ("shape", "+d1-d3-d4", "4"): 1, ("shape", "d2", "4"): 900})
+    texts = ["ring +1-555-1234 or so", "ring +1-555-1234 or so, a@b.cd knows", "ring 12 or 13", "nothing at all", ""]
+    base = [pii.base_spans(t) for t in texts]
+    assert base == [[], [(24, 0, 30)], [], [], []]
+    assert pii.added_spans(texts, base, weights) == [[(5, 3, 16)], [(5, 3, 16)], [], [], []]
+
+
+def test_labels_do_not_depend_on_what_is_labelled_together(monkeypatch):
+    weights = pii.Weights({("shape", "+d1-d3-d4", "3"): 99, ("shape", "+d1-d3-d4", "4"): 1, ("chain", "3", "4"): 5, ("chain", "4", "4"): 50})
+    texts = [f"call +1 (0{k + 10}) 555-{1000 + k}, x{k}@b.cd or 555-{1000 + k} and +1-555-{1000 + k} in {k}" for k in range(40)]
+    base = [pii.base_spans(t) for t in texts]
+    want = pii.added_spans(texts, base, weights)
+    monkeypatch.setattr(pii, "TOGETHER", 1)
+    assert any(want) and pii.added_spans(texts, base, weights) == want
