@@ -11,8 +11,12 @@ from headwind.llm.tables import keep
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a determinable language (no letters, or a score below ``language_id.MIN_SCORE``)."""
-    found = language_id.annotate(docs).where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= language_id.MIN_SCORE))
+    """Drops documents without letters, or with a score below ``language_id.MIN_SCORE``; without learned languages, only the former."""
+    model = language_id.Model(language_id.learn(docs))
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = language_id.decided(docs, model, "text", "_lang", "_score")
+    found = found.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= language_id.MIN_SCORE))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

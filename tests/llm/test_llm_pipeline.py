@@ -65,3 +65,11 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert corpus_pipeline.language_stage(spark, docs, SF).count() == docs.count()
     assert WORD
+
+
+def test_language_stage_without_labels_drops_only_texts_without_letters(spark):
+    values = ["one two three", "12 34 !", None, "", "漢字", "é", "\n?"]
+    rows = [(k, v, None, "s", len(v or "")) for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language_stage(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 4, 5]
