@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headwind.llm import chat, embedding_duplicates, language_id, licenses, neighbours, packing, pii, sentencepiece_lattice, simhash, token_counts
+from headwind.llm import chat, embedding_duplicates, language_id, licenses, merkle, neighbours, packing, pii, sentencepiece_lattice, simhash, token_counts
 from headwind.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.tampered_rows())
+
+
+SQL["op12_merkle_manifest"] = merkle.manifest_sql()
