@@ -183,7 +183,7 @@ with recursive base as (
 ), tip as (
     select h as root, lvl as top from ring where n = 1
 ), steps as (
-    select p.tree, p.i, s.lvl as at, (p.i >> s.lvl) % 2 as slot, o.h as sib
+    select p.tree, p.i, s.lvl as pos, (p.i >> s.lvl) % 2 as slot, o.h as sib
     from placed p join subroots r using (tree) join (select distinct lvl from nodes) s on s.lvl < r.height
     left join nodes o on o.tree = p.tree and o.lvl = s.lvl and o.i = xor(p.i >> s.lvl, 1)
     union all
@@ -191,16 +191,16 @@ with recursive base as (
     from placed p join subroots r using (tree) join (select distinct lvl from ring) s on s.lvl < (select top from tip)
     left join ring o on o.lvl = s.lvl and o.i = xor(p.tree >> s.lvl, 1)
 ), folded as (
-    select tree, i, 0 as at, now as h from placed
+    select tree, i, 0 as pos, now as h from placed
     union all
-    select f.tree, f.i, f.at + 1, sha256(case when s.slot = 1 then coalesce(s.sib, '') || f.h else f.h || coalesce(s.sib, '') end)
-    from folded f join steps s on s.tree = f.tree and s.i = f.i and s.at = f.at
+    select f.tree, f.i, f.pos + 1, sha256(case when s.slot = 1 then coalesce(s.sib, '') || f.h else f.h || coalesce(s.sib, '') end)
+    from folded f join steps s on s.tree = f.tree and s.i = f.i and s.pos = f.pos
 ), proofs as (
-    select tree, i, sha256(coalesce(string_agg(sib, '' order by at), '')) as proof, count(*) as length from steps group by tree, i
+    select tree, i, sha256(coalesce(string_agg(sib, '' order by pos), '')) as proof, count(*) as length from steps group by tree, i
 )
 select p.doc_id, p.leaf, r.h as subroot, t.root, coalesce(q.proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.root as verified
 from placed p join subroots r using (tree) cross join tip t left join proofs q on q.tree = p.tree and q.i = p.i
-join folded f on f.tree = p.tree and f.i = p.i and f.at = coalesce(q.length, 0)
+join folded f on f.tree = p.tree and f.i = p.i and f.pos = coalesce(q.length, 0)
 """
 
 
