@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headwind.llm import chat, embedding_duplicates, language_id, licenses, merkle, neighbours, packing, pii, sentencepiece_lattice, simhash, token_counts
+from headwind.llm import alignment, chat, embedding_duplicates, language_id, licenses, merkle, neighbours, packing, pii, sentencepiece_lattice, simhash, suffix_duplicates, token_counts
 from headwind.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_merkle_manifest"] = merkle.manifest_sql()
+
+
+@query
+def op11_suffix_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_duplicates.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
