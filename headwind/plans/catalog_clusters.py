@@ -219,6 +219,33 @@ def _(spark, sf):
     return svd.rows.select("id", F.get(vector_to_array("reduced"), F.lit(0)).alias("first"))
 
 
+@query(
+    "i8_svd_facts",
+    f"""with {VECTORS}, cells as (select unnest(x) as v from pts)
+    select count(distinct id) as n, (select round(sum(v * v), 4) from cells) as sum_squares, true as same_values from pts""",
+)
+def _(spark, sf):
+    """With as many values as columns their squares add up to those of the cells; both ways find the same 50."""
+    points = clusters.to_vector(vectors(spark, sf), "x")
+    width = len(points.first()["x"])
+    every = decomposition.wide_svd(points, "features", width)
+    ours, gram = (way(points, "features", 50).singular_values for way in (decomposition.wide_svd, decomposition.truncated_svd))
+    same = all(abs(a - b) <= 1e-6 * b for a, b in zip(ours, gram, strict=True))
+    total = sum(v * v for v in every.singular_values)
+    return every.rows.agg(F.count_distinct("id").alias("n"), F.lit(round(total, 4)).alias("sum_squares"), F.lit(same).alias("same_values"))
+
+
+@query("i8_wide_svd")
+def _(spark, sf):
+    """Unit TF-IDF rows of every document over the whole vocabulary of words and pairs, reduced to 20 directions."""
+    docs = table(spark, sf, "documents").select("doc_id", terms(F.col("text"), _STOP, (1, 2)).alias("terms"))
+    folded = cut(features.fold_terms(docs, "doc_id", "terms"))
+    n_docs = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    return decomposition.svd_of_cells(
+        features.tfidf_long(folded, "doc_id", features.vocabulary_of(folded, min_df=2), n_docs), "doc_id", "term", "weight", 20
+    )
+
+
 @query(
     "i11_top_features",
     f"""with {_CENTERS}, r as (select cluster, 'f' || (i - 1) as feature, m, row_number() over (partition by cluster order by m desc, 'f' || (i - 1)) as rank from means)
@@ -284,7 +311,7 @@ def _nmf_sql() -> str:
 
 @query("i9_factor_round_rows", f"{_nmf_sql()} select doc_id, {', '.join(f'round(w{j}, 6) as w{j}' for j in range(TOPICS))} from w1")
 def _(spark, sf):
-    out = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=1).rows
+    out = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=1, solver="mu", start="hash").rows
     return out.select("doc_id", *[r6(f"w{j}") for j in range(TOPICS)])
 
 
@@ -294,7 +321,7 @@ def _(spark, sf):
     select * from (select topic, term, round(weight, 6) as weight, cast(row_number() over (partition by topic order by weight desc, term) as integer) as rank from l) where rank <= 15""",
 )
 def _(spark, sf):
-    out = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=1).terms
+    out = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=1, solver="mu", start="hash").terms
     return decomposition.topic_words(out, "term", TOPICS).select("topic", "term", r6("weight"), "rank")
 
 
@@ -313,6 +340,13 @@ def _(spark, sf):
     return spark.createDataFrame([(negative, falling, abs(error - got.losses[-1]) <= 1e-6 * abs(error))], "negative long, falling boolean, loss_matches boolean")
 
 
+@query("i10_topic_words_converged")
+def _(spark, sf):
+    """The words of each topic after the factors have settled."""
+    out = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS).terms
+    return decomposition.topic_words(out, "term", TOPICS)
+
+
 @query("i9_factor_losses")
 def _(spark, sf):
     losses = decomposition.nmf(_counts(spark, sf), "doc_id", "term", "tf", TOPICS, rounds=50).losses
