@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from headwind.functions import fixed_values as fixed
@@ -70,28 +72,74 @@ def call_with_retry(call: Callable[[], str], tries: int = 3, pause: float = 5.0,
     return False, "timed out on every try", None
 
 
-def call_annotator(batches: DataFrame, annotator: Annotator, workers: int | None = None, tries: int = 3, pause: float = 5.0) -> DataFrame:
-    """Run the annotator on each batch inside Spark tasks; ``workers`` bounds how many run at once.
+def call_within(call: Callable[[], str], limit: float | None) -> str:
+    """The call's answer, or a ``TimeoutError`` once ``limit`` seconds are over; the late call is left alone and its answer lost."""
+    if limit is None:
+        return call()
+    box: dict[str, object] = {}
+    done = threading.Event()
 
-    Adds ``ok, error, answer`` to ``batch, records``. A failing call is a value, never a failed task. The answers are
-    kept in the shared folder, so reading successes and failures later does not call anything again.
+    def run() -> None:
+        try:
+            box["answer"] = call()
+        except BaseException as e:  # handed to the waiting thread
+            box["error"] = e
+        finally:
+            done.set()
+
+    threading.Thread(target=run, daemon=True).start()  # a call that never ends does not keep the worker alive
+    if not done.wait(limit):
+        raise TimeoutError(f"no answer within {limit:g} s")
+    if "error" in box:
+        raise box["error"]
+    return box["answer"]
+
+
+def call_annotator(
+    batches: DataFrame, annotator: Annotator, workers: int | None = None, tries: int = 3, pause: float = 5.0, limit: float | None = 60.0,
+    pool: int = 1, measure: Observation | None = None,
+) -> DataFrame:
+    """Run the annotator on each batch inside Spark tasks; ``workers`` bounds how many tasks run at once.
+
+    A task has up to ``pool`` calls under way at a time, and each try ends after ``limit`` seconds. Adds ``ok, error, answer``
+    to ``batch, records``, in the order of the batches. A failing call is a value, never a failed task. The answers are kept
+    in the shared folder, so reading successes and failures later does not call anything again. ``measure`` takes down, in
+    the same run, the batches and records asked, the seconds spent in calls, and when the first began and the last ended.
     """
     asked = batches.select("batch", "records", prompt_text(F.col("records")).alias("prompt"))
     if workers:
         asked = asked.repartition(workers, "batch")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            answers = []
-            for prompt, records in zip(part["prompt"], part["records"]):
-                plain = [{"title": r["title"], "text": r["text"]} for r in records]
-                answers.append(call_with_retry(lambda p=prompt, r=plain: annotator(p, r), tries, pause))
-            out = part.drop(columns="prompt")
-            out["ok"], out["error"], out["answer"] = zip(*answers) if answers else ((), (), ())
-            yield out
+    def ask(task: tuple[str, list]) -> tuple:
+        prompt, records = task
+        plain = [{"title": r["title"], "text": r["text"]} for r in records]
+        began = time.time()
+        return *call_with_retry(lambda: call_within(lambda: annotator(prompt, plain), limit), tries, pause), began, time.time()
 
-    schema = asked.drop("prompt").schema.add("ok", "boolean").add("error", "string").add("answer", "string")
-    return cut(asked.mapInPandas(run, schema))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(pool) as threads:
+            for part in parts:
+                answers = list(threads.map(ask, zip(part["prompt"], part["records"])))
+                out = part.drop(columns="prompt")
+                out["ok"], out["error"], out["answer"], out["began"], out["ended"] = zip(*answers) if answers else ((),) * 5
+                yield out
+
+    schema = asked.drop("prompt").schema.add("ok", "boolean").add("error", "string").add("answer", "string").add("began", "double").add("ended", "double")
+    answered = asked.mapInPandas(run, schema)
+    if measure is not None:
+        answered = answered.observe(
+            measure, F.count("*").alias("batches"), F.sum(F.size("records")).alias("n"), F.sum(F.col("ended") - F.col("began")).alias("call_seconds"),
+            (F.max("ended") - F.min("began")).alias("seconds"), F.count_if(~F.col("ok")).alias("failed"),
+        )
+    return cut(answered).drop("began", "ended")
+
+
+def measured(spark: SparkSession, measure: Observation) -> DataFrame:
+    """Throughput as the run itself took it down: one row; read it after the answers."""
+    got = measure.get
+    n, seconds = got["n"] or 0, got["seconds"]
+    row = (n, got["batches"], got["failed"], seconds, got["call_seconds"], seconds / n if n else None)
+    return spark.createDataFrame([row], "n long, batches long, failed long, seconds double, call_seconds double, seconds_per_row double")
 
 
 def parse_answers(called: DataFrame) -> DataFrame:
@@ -157,10 +205,10 @@ def write_back(articles: DataFrame, annotations: DataFrame, key: str) -> DataFra
 
 def annotate(
     articles: DataFrame, annotator: Annotator, key: str, order: list[str], size: int = 10, drop_tail: bool = False,
-    workers: int | None = None,
+    workers: int | None = None, **calls,
 ) -> DataFrame:
-    """``batch, records, ok, error, raw_answer, results`` for every batch of the articles."""
-    return parse_answers(call_annotator(make_batches(articles, key, order, size, drop_tail), annotator, workers))
+    """``batch, records, ok, error, raw_answer, results`` for every batch of the articles; ``calls`` goes to ``call_annotator``."""
+    return parse_answers(call_annotator(make_batches(articles, key, order, size, drop_tail), annotator, workers, **calls))
 
 
 def pending(articles: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries on fetched pages and annotated articles: ingest, parsing, counts, profiles, annotation, text features."""
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from headwind.functions import parse
@@ -513,6 +514,32 @@ def _(spark, sf):
     return bad.select("batch", F.size("records").cast("long").alias("n"), "error")
 
 
+@query("c4_calls_in_time", f"{_LEXICON_SQL} select key, {_LEXICON_OUT} from s where key not in (select key from placed where batch in (select batch from placed where text like '%ß%'))")
+def _(spark, sf):
+    """Several calls at once in a task, each with a time limit; batches whose calls never answer are left out, the others kept."""
+    import threading
+
+    plain = _annotator()
+
+    def stuck(prompt, records):
+        if any("ß" in r["text"] for r in records):
+            threading.Event().wait(20)
+        return plain(prompt, records)
+
+    answered = annotate.annotate(_talk(spark, sf), stuck, "key", ["conv_id", "turn"], tries=1, limit=3.0, pool=32)
+    return _readable(annotate.scatter(annotate.split_outcomes(answered)[0]))
+
+
+@query("c11_throughput", f"with {_TALK} select count(*) as n, count(distinct batch) as batches, 0::bigint as failed, true as timed from placed where title is not null and text is not null")
+def _(spark, sf):
+    """Rows, batches and seconds as the annotating job itself counted them."""
+    seen = Observation()
+    annotate.annotate(_talk(spark, sf), _annotator(), "key", ["conv_id", "turn"], measure=seen)
+    row = annotate.measured(spark, seen)
+    timed = (F.col("seconds") > 0) & (F.col("call_seconds") > 0) & (F.abs(F.col("seconds_per_row") * F.col("n") - F.col("seconds")) < 1e-6)
+    return row.select("n", "batches", "failed", timed.alias("timed"))
+
+
 @query(
     "c9_pending_after_resume",
     f"""with {_TALK} select key from talk where i >= total - total % 10""",

@@ -55,6 +55,18 @@ def read_prices(spark: SparkSession, root: str, symbol: str = "BTCUSDT", interva
     return raw.withColumn("date", F.to_date("timestamp"))
 
 
+def read_price_months(spark: SparkSession, root: str, months: list[str], symbol: str = "BTCUSDT", interval: str = "1d") -> DataFrame:
+    """Only the files of some months (``2017_08``), by the names of files or folders: others are listed but never opened.
+
+    Adds ``file``. The test on the file path is one on file metadata, so Spark applies it when it picks the files to scan.
+    """
+    name = f"{symbol}_{interval}"
+    raw = spark.read.schema(schemas.OHLCV).option("header", "true").option("recursiveFileLookup", "true").csv(f"{root.rstrip('/')}/{name}")
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}_\d{2})(?:\.csv|/[^/]*)$", 1)
+    picked = raw.where(month.isin(months)).withColumns({"file": F.col("_metadata.file_path"), "year_month": month})
+    return picked.withColumn("date", F.to_date("timestamp"))
+
+
 def read_price_table(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
     """Prices written by ``write_prices``; a month list prunes partitions."""
     table = spark.read.parquet(path)
@@ -87,6 +99,25 @@ def read_trends(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("key", number.alias("interest"), F.coalesce(low, F.lit(False)).alias("below_one"))
 
 
+def read_trend_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, heading, key, interest, below_one`` of many exports, each with a preamble of its own length.
+
+    An export is small (a line per week or country) and is read whole; its lines keep their places, and its heading is the
+    first line with two filled cells whose second is neither a number nor '<1'. What stands above it is the preamble.
+    """
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    numbered = F.transform(lines, lambda line, at: F.struct(at.alias("at"), line.alias("line")))
+    cells = whole.select(F.col("_metadata.file_path").alias("file"), F.explode(numbered).alias("_c")).select("file", "_c.at", "_c.line")
+    key, value = F.split_part("line", F.lit(","), F.lit(1)), F.trim(F.substring_index("line", ",", -1))
+    split = cells.where(F.col("line").contains(",")).select("file", "at", key.alias("key"), F.nullif(value, F.lit("")).alias("value"))
+    number, low = F.col("value").try_cast("int"), F.col("value") == "<1"
+    title = F.col("value").isNotNull() & number.isNull() & ~low & (F.trim("key") != "")
+    heads = split.where(title).groupBy("file").agg(F.min(F.struct("at", "value")).alias("_h"))
+    rows = split.join(heads, "file").where(F.col("at") > F.col("_h.at"))
+    return rows.select("file", F.col("_h.value").alias("heading"), "key", number.alias("interest"), F.coalesce(low, F.lit(False)).alias("below_one"))
+
+
 def read_weekly_trends(spark: SparkSession, path: str) -> DataFrame:
     return read_trends(spark, path).select(F.col("key").cast("date").alias("week"), "interest", "below_one")
 

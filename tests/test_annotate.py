@@ -95,7 +95,7 @@ def test_failures_are_values(articles):
         return "[]"
 
     good, bad = an.split_outcomes(an.annotate(articles, fn, "id", ["id"], workers=2))
-    assert [r.batch for r in good.collect()] == [1]
+    assert sorted(r.batch for r in good.collect()) == [1, 2]
     assert [(r.batch, r.error) for r in bad.select("batch", "error").collect()] == [(0, "call failed: boom")]
 
 
@@ -108,8 +108,8 @@ def test_each_batch_is_asked_once(articles, tmp_path):
         return "[]" if records[0]["title"] == "title 0" else "no"
 
     good, bad = an.split_outcomes(an.annotate(articles, fn, "id", ["id"]))
-    assert good.count() == 1 and bad.count() == 1 and good.collect() and bad.collect()
-    assert sorted(seen.read_text().split()) == sorted("title 0 title 10".split())
+    assert good.count() == 1 and bad.count() == 2 and good.collect() and bad.collect()
+    assert sorted(seen.read_text().split()) == sorted("title 0 title 10 title 20".split())
 
 
 def test_resume_goes_by_key(articles, tmp_path):
@@ -133,3 +133,47 @@ def test_missing_columns_and_throughput(articles):
     assert "text_adjectives" in an.ensure_columns(articles).columns
     row = an.throughput(articles, 46.0).first()
     assert (row.n, row.seconds_per_row) == (23, 2.0)
+
+
+def test_a_hanging_call_becomes_an_error_row(articles):
+    import time
+
+    def fn(prompt, records):
+        if records[0]["title"] == "title 10":
+            time.sleep(30)
+        return "[]"
+
+    began = time.time()
+    asked = an.annotate(articles, fn, "id", ["id"], tries=2, pause=0.05, limit=0.5)
+    good, bad = an.split_outcomes(asked)
+    assert [(r.batch, r.error) for r in bad.collect()] == [(1, "timed out on every try")] and good.count() == 2
+    assert time.time() - began < 25
+
+
+def test_a_call_within_its_limit_keeps_its_answer_and_its_error():
+    assert an.call_within(lambda: "x", 5) == "x" and an.call_within(lambda: "y", None) == "y"
+    with pytest.raises(ValueError):
+        an.call_within(lambda: int("z"), 5)
+
+
+def test_a_pool_shortens_the_wait_and_keeps_the_order(spark):
+    import time
+
+    from pyspark.sql import Observation
+
+    frame = spark.range(40).select("id", F.format_string("t%d", "id").alias("title"), F.lit("x").alias("text"))
+    batches = an.make_batches(frame, "id", ["id"], size=2).coalesce(1)
+
+    def fn(prompt, records):
+        time.sleep(0.2)
+        return records[0]["title"]
+
+    taken = {}
+    for pool in (1, 10):
+        seen = Observation()
+        rows = an.call_annotator(batches, fn, workers=1, pool=pool, measure=seen).collect()
+        assert all(r.answer == r.records[0]["title"] for r in rows) and len(rows) == 20
+        row = an.measured(spark, seen).first()
+        assert (row.n, row.batches, row.failed) == (40, 20, 0) and row.call_seconds > 3.9
+        taken[pool] = row.seconds
+    assert taken[10] < taken[1] / 3

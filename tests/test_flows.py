@@ -180,3 +180,72 @@ def test_cluster_without_local_checkpoint_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+@pytest.fixture
+def twenty(spark, tmp_path):
+    """Twenty one-file micro-batches of 30 rows, with keys from a small range, so that most repeat."""
+    src = str(tmp_path / "many")
+    rows = [(k * 7 % 97, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(k * 37) % 600), k % 20) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, part int")
+    df.repartitionByRange(20, "part").write.parquet(src)
+    return df, src
+
+
+def test_keyed_state_reads_only_what_is_new(spark, twenty, tmp_path):
+    df, src = twenty
+    kept, progress = jobs.deduplicate_keyed(jobs.read_files(spark, src, df.schema, files_per_batch=1), str(tmp_path / "k"), ["id"], ["ts"])
+    assert sorted(r.id for r in kept.collect()) == list(range(97)) and kept.join(df, df.columns, "left_anti").count() == 0
+    assert [p["numInputRows"] for p in progress] == [30] * 20
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 97
+    df.limit(5).withColumn("id", F.col("id") + 50).write.mode("append").parquet(src)
+    again, progress = jobs.deduplicate_keyed(jobs.read_files(spark, src, df.schema, files_per_batch=1), str(tmp_path / "k"), ["id"], ["ts"])
+    assert sum(p["numInputRows"] for p in progress) == 5 and again.select("id").distinct().count() == again.count()
+
+
+@pytest.mark.parametrize("delay", ["0 days", "3 days", "100 days"])
+def test_windows_lose_nothing(spark, twenty, tmp_path, delay):
+    df, src = twenty
+    out = jobs.window_counts_to(jobs.read_files(spark, src, df.schema, files_per_batch=1), str(tmp_path / "w"), "ts", ["part"], delay=delay)
+    late = jobs.bucket_counts(out["late"], "ts", ["part"])
+    closed, open_ = out["closed"].collect(), out["open"].collect()
+    assert not {(r.bucket, r.part) for r in closed} & {(r.bucket, r.part) for r in open_}
+    assert len({(r.bucket, r.part) for r in closed}) == len(closed)
+    every = out["closed"].unionByName(out["open"]).unionByName(late).groupBy("bucket", "part").agg(F.sum("n").alias("n"))
+    assert {tuple(r) for r in every.collect()} == {tuple(r) for r in jobs.bucket_counts(df, "ts", ["part"]).collect()}
+    assert (late.count() > 0) == (delay != "100 days") and (delay == "100 days") == (not closed)
+
+
+def test_a_broken_backfill_is_repeated_without_double_rows(spark, tmp_path):
+    path = str(tmp_path / "b")
+    df = spark.createDataFrame([(f"2024-01-{d:02d}", d * 10 + k) for d in range(1, 6) for k in range(3)], "range_start string, v int")
+    writers.backfill_ranges(df.where("range_start < '2024-01-03'"), path)
+    writers.write_ranges(df.where("range_start = '2024-01-04' and v < 42"), f"{path}/rows", mode="append")  # broken off
+    for _ in range(2):
+        done = writers.backfill_ranges(df, path)
+        assert sorted((r.range_start.isoformat() if hasattr(r.range_start, "isoformat") else r.range_start, r.n) for r in done.collect()) == [(f"2024-01-{d:02d}", 3) for d in range(1, 6)]
+        back = spark.read.options(**readers.QUOTED_CSV).csv(f"{path}/rows")
+        assert sorted(int(r.v) for r in back.collect()) == sorted(r.v for r in df.collect())
+
+
+def test_only_the_months_asked_for_are_opened(spark, tmp_path):
+    folder = tmp_path / "COIN_1d"
+    folder.mkdir()
+    head = "timestamp,open,high,low,close,volume,year_month\n"
+    for m in range(1, 13):
+        (folder / f"COIN_1d_2024_{m:02d}.csv").write_text(head + f"2024-{m:02d}-05,1,2,0.5,{m},10,2024_{m:02d}\n")
+    got = readers.read_price_months(spark, str(tmp_path), ["2024_02", "2024_11"], "COIN")
+    assert sorted((r.year_month, r.close) for r in got.collect()) == [("2024_02", 2.0), ("2024_11", 11.0)]
+    scan = got._jdf.queryExecution()
+    scan.executedPlan()
+    assert "file_path" in scan.toString()
+
+
+def test_trend_files_find_their_own_headings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Category: All\n\nWeek,coin: (World)\n2020-03-29,16\n2020-04-05,<1\n")
+    (tmp_path / "b.csv").write_text("note one\nCategory: Finance\n\nLand,coin: (2020 - 2025)\r\nPeru,100\r\nChad,\r\n")
+    got = {(r.heading, r.key): (r.interest, r.below_one) for r in readers.read_trend_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("coin: (World)", "2020-03-29"): (16, False), ("coin: (World)", "2020-04-05"): (None, True),
+        ("coin: (2020 - 2025)", "Peru"): (100, False), ("coin: (2020 - 2025)", "Chad"): (None, False),
+    }
