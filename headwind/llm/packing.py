@@ -2,8 +2,9 @@
 
 Each task packs its own pieces best-fit, longest first. Bins that are (nearly) full are final. The underfull ones become
 items themselves: groups of tasks are merged as a tree, eight to one, each group packing its underfull bins best-fit
-again, until one group is left or a round no longer saves a bin. A group holds at most ``GROUP`` bins, so no task grows
-with the input; numbers and lengths travel, never tokens.
+again, until one group is left. A group holds about ``GROUP`` bins at most, so no task grows with the input; where more
+bins are left than that, rounds over ever other groups go on until two in a row save no bin. Numbers and lengths travel,
+never tokens.
 
 Defined cases: a null or empty text is one piece that holds only the end id; repeated rows (also of one id) are packed
 each on its own and keep the order of their pieces; an empty table gives an empty result; extra columns are ignored.
@@ -13,7 +14,10 @@ in the order of the task's rows; a piece goes to the bin with the least room tha
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwind.llm.alignment import printable_bytes
 from headwind.llm.tables import keep, slices, texts
 from headwind.llm.token_counts import byte_lengths, encode_apart, ends_at, special_strings, tokenizer_of
 
@@ -32,7 +37,7 @@ FULL = 8  # a bin with at most this much room is nearly full
 FAN_IN = 8
 GROUP = 200_000  # bins that meet in one task at most, on average
 LOCAL = 50_000  # pieces that a task packs at a time
-MARKS = ".,;:!?"
+MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may start a piece of its own
 NEAR = 30_000  # words met first, and so the frequent ones, in a small table that stays
 CACHED = 800_000  # other words that a worker remembers before it starts anew
 SLICE = 128
@@ -40,6 +45,7 @@ LONG = 64
 
 ODD = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizer
 _caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_plain: dict[str, PlainWords] = {}
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -53,6 +59,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         apart = [*ODD, *special_strings(tok)]
         sizes = byte_lengths(tok)
         near, far = _caches.setdefault(tokenizer_path, ({}, {}))
+        plain = _plain.get(tokenizer_path) or _plain.setdefault(tokenizer_path, PlainWords(tok))
         end = np.array([END_ID], dtype="<u4").tobytes()
 
         def whole(text: str) -> bytes:
@@ -78,7 +85,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                 cut.append(found)
                 gaps.append(gap)
                 fresh.update(dict.fromkeys(w for _, w in gap))
-            _learn(tok, sizes, far, fresh)
+            _learn(tok, sizes, far, fresh, plain)
             doc, piece, start, length, crc = [], [], [], [], []
             for key, text, found, gap in zip(batch.column(0).to_pylist(), values, cut, gaps):
                 for i, w in gap:
@@ -104,43 +111,75 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
-def _learn(tokenizer, sizes: np.ndarray, known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-    """Fill in the ids of new words. A word of plain letters and one mark after it is put together from the two, in lower
+_PLAIN = {*range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC2, 0xCA)}  # bytes of lower-case Latin letters
+_LAST = bytes(b - 0x20 if 0x61 <= b <= 0x7A else b - 0x80 if 0x80 <= b < 0xC0 else b for b in range(256))
+
+
+class PlainWords:
+    """Ids of lower-case Latin words by a merge table over bytes.
+
+    The vocabulary tells a word's last byte from the same byte inside a word. Here the last byte takes a code that such words
+    do not use (a capital, or a control byte), so that a public byte-pair encoder can merge the word in one call. Ids of
+    merged tokens ascend in the order of the merges, so they serve as ranks. Other vocabularies are left to their own library.
+    """
+
+    def __init__(self, tokenizer):
+        import tiktoken
+
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        order = [vocab.get(x + y, -1) for x, y in merges]
+        self.encode = None
+        if not end or any(p >= q for p, q in zip(order, order[1:])):
+            return
+        to_byte, ranks = printable_bytes(), {}
+        for token, i in vocab.items():
+            word = token.removesuffix(end)
+            if all(c in to_byte for c in word):
+                data = bytes(map(to_byte.__getitem__, word))
+                if data and _PLAIN.issuperset(data) and (word == token or data[-1] < 0xC2):  # no word ends in a first byte
+                    ranks[data if word == token else data[:-1] + _LAST[data[-1] :][:1]] = i
+        self.encode = tiktoken.Encoding("plain-words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def ids(self, word: str) -> bytes:
+        data = word.encode()
+        return array("I", self.encode(data[:-1] + _LAST[data[-1] :][:1])).tobytes()
+
+
+def _learn(tokenizer, sizes: np.ndarray, known: dict[str, bytes], fresh: dict[str, bytes], plain: PlainWords) -> None:
+    """Fill in the ids of new words. Plain letters and the marks after them are put together from the two, in lower
     case, as the tokenizer itself takes them apart; other words are encoded as they stand."""
-    parts, plain, wanted = {}, {}, {}
+    wanted = {}
     for w in fresh:
-        mark = w[-1] if w[-1] in MARKS else ""
-        core = w[: len(w) - len(mark)]
+        core = w.rstrip(MARKS)
+        mark = w[len(core) :]
         low = core.lower()
-        if low.isalpha() and len(low) == len(core) and max(core) < "\u0250":
-            parts[w] = (low, mark)
-            if low not in known:
-                plain[low] = None
-            if mark and mark not in known:
-                plain[mark] = None
+        if plain.encode and low.isalpha() and (low.isascii() or (len(low) == len(core) and max(core) < "\u0250")):
+            ids = known.get(low)
+            if ids is None:
+                ids = plain.ids(low)
+                if len(low) <= LONG:
+                    known[low] = ids
+            if mark:
+                after = known.get(mark)
+                if after is None:
+                    after = word_ids(tokenizer, sizes, [mark])[0]
+                    if len(mark) <= LONG:
+                        known[mark] = after
+                ids += after
+            fresh[w] = ids
         else:
             wanted[w] = None
-    got = dict(zip(plain, word_ids(tokenizer, sizes, list(plain), normal=True)))
-    got |= dict(zip(wanted, word_ids(tokenizer, sizes, list(wanted))))
-    known.update((p, ids) for p, ids in got.items() if len(p) <= LONG)
-    for w in fresh:
-        if w in parts:
-            low, mark = parts[w]
-            ids = got.get(low) or known[low]
-            fresh[w] = ids + (got.get(mark) or known[mark]) if mark else ids
-        else:
-            fresh[w] = got[w]
+    fresh.update(zip(wanted, word_ids(tokenizer, sizes, list(wanted))))
 
 
-def word_ids(tokenizer, sizes: np.ndarray, words: list[str], normal: bool = False) -> list[bytes]:
-    """The ids of each word as bytes; encoded together, with a space between them, and cut by the bytes of their tokens.
-
-    ``normal`` says that the tokenizer's normalization would leave the words as they are.
-    """
+def word_ids(tokenizer, sizes: np.ndarray, words: list[str]) -> list[bytes]:
+    """The ids of each word as bytes; encoded together, with a space between them, and cut by the bytes of their tokens."""
     if not words:
         return []
     joined = " ".join(words)
-    parts = words if normal or not tokenizer.normalizer else tokenizer.normalizer.normalize_str(joined).split(" ")
+    parts = words if not tokenizer.normalizer else tokenizer.normalizer.normalize_str(joined).split(" ")
     ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
     ends = ends_at(sizes[ids], [len(p.encode()) for p in parts]) if len(parts) == len(words) else None
     if ends is None:
@@ -203,7 +242,6 @@ def _pack_locally(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, full: int = FULL, group: int = GROUP) -> DataFrame:
     """Each piece with its ``sequence_id`` and its ``offset`` there."""
     placed = keep(_pack_locally(pieces, capacity), "packed")
-    moves, underfull = None, None
     sizes = placed.groupBy("bin").agg(F.sum("length").alias("length"))
     underfull = keep(sizes.where(F.col("length") < capacity - full), "underfull")
     n = underfull.count()
@@ -218,9 +256,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, full: int = FULL, group: i
         lead[seen] = pdf["bin"].to_numpy()[at]  # a merged bin keeps the name of one of its bins
         return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "to": lead[bins], "by": offsets, "length": pdf["length"].to_numpy()})
 
+    turn, idle = 0, 0
     while n > 1:
         tasks = max(-(-tasks // FAN_IN), -(-n // group))
-        dealt = underfull.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(tasks)))
+        dealt = underfull.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(tasks)))
         moves = keep(dealt.groupBy("g").applyInPandas(merge, "bin long, to long, by long, length long"), "moves")
         where = where.join(moves.select("bin", "to", "by"), "bin", "left").select(
             "bin0", F.coalesce("to", "bin").alias("bin"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")
@@ -229,7 +268,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, full: int = FULL, group: i
         sizes = moves.groupBy(F.col("to").alias("bin")).agg(F.sum("length").alias("length"))
         underfull = keep(sizes.where(F.col("length") < capacity - full), "underfull")
         before, n = n, underfull.count()
-        if tasks == 1 or (n > group and n > 0.99 * before):
+        idle = idle + 1 if n == before else 0
+        turn += 1
+        if tasks == 1 or idle == 2:
             break
     out = placed.join(where.withColumnRenamed("bin", "to"), placed["bin"] == where["bin0"], "left")
     return out.select(

@@ -411,3 +411,34 @@ def test_labels_do_not_depend_on_what_is_labelled_together(monkeypatch):
     want = pii.added_spans(texts, base, weights)
     monkeypatch.setattr(pii, "TOGETHER", 1)
     assert any(want) and pii.added_spans(texts, base, weights) == want
+
+
+def test_plain_words_get_the_tokenizers_own_ids(spark):
+    """Every word of the table, and words put together at random, through the merge table and through the library."""
+    tok = Tokenizer.from_file(WORD)
+    rng = np.random.default_rng(4)
+    words = {w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in r.text.split()}
+    letters = list("abcdefghijklmnopqrstuvwxyzéàüßñøœžÅÆ") + ["th", "ing", "er", "Re"]
+    words |= {"".join(rng.choice(letters, n)) for n in rng.integers(1, 12, 4_000)}
+    words |= {f"{a}{b}" for a in ("word", "Été", "x's", "don't", "a1", "1") for b in (".", "...", "$$$", "'", "_", "-x", "!?", "")}
+    known, fresh = {}, dict.fromkeys(sorted(words))
+    packing._learn(tok, packing.byte_lengths(tok), known, fresh, packing.PlainWords(tok))
+    want = {w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+    assert fresh == want
+    assert all(known[w] == np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in known)
+
+
+def test_small_groups_pack_nearly_as_well(spark):
+    """With groups far smaller than the number of bins, rounds over other groups bring the rest together."""
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(200, 3_900, 1_500)
+    pieces = spark.createDataFrame([(k, 0, 0, int(n), 0) for k, n in enumerate(sizes)], packing.PIECES).repartition(32)
+    counts = []
+    for group in (200_000, 150):
+        got = packing.pack(pieces, group=group).collect()
+        used = Counter()
+        for r in got:
+            used[r.sequence_id] += r.length
+        assert len(got) == len(sizes) and max(used.values()) <= packing.CAPACITY
+        counts.append(len(used))
+    assert counts[1] <= counts[0] * 1.01
