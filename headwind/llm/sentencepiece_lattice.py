@@ -2,8 +2,8 @@
 
 The pieces of a model span a lattice over a text; a segmentation is a path through it and scores the sum of its pieces.
 A forward Viterbi pass gives the best score of every prefix. A backward A-star search from the end uses these scores as
-its heuristic: they are exact, so paths leave the agenda in order of their total score and the search opens little more
-than the N best paths.
+its heuristic: they are exact, so paths leave the agenda in order of their total score, each entry stands for a path of just
+its score, and the agenda needs no more entries than paths are still wanted.
 
 No piece holds certain pairs of neighbouring characters, so every path has a boundary there. Texts fall apart at these
 points into words and units that are searched on their own and remembered by each worker (bounded); the N best of a text
@@ -21,6 +21,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -61,9 +63,13 @@ class Lattice:
                 self.ids[piece] = i
         self.lowest = min((s for p, i in self.ids.items() if (s := self.scores[i]) > -1e8), default=0.0) - UNKNOWN
         self.unknown_id = sp.unk_id()
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
+        # every start of a piece: its score and ids, empty where it is no piece itself
+        self.pieces: dict[str, tuple[float, tuple[int, ...]]] = {p[:k]: (0.0, ()) for p in self.ids for k in range(1, len(p))}
+        self.pieces |= {p: (self.scores[i], (i,)) for p, i in self.ids.items()}
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [t.encode("utf-8", "surrogatepass") for t in self.texts]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
         self.units: dict[str, list[Path]] = {}
 
     def spelled(self, char: str) -> tuple[int, ...]:
@@ -77,38 +83,45 @@ class Lattice:
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]  # edges by their end
         best = [-np.inf] * (size + 1)
         best[0] = 0.0
-        ids, starts, scores = self.ids, self.starts, self.scores
+        pieces = self.pieces.get
         for i in range(size):
             here, single = best[i], False
             for j in range(i + 1, size + 1):
-                part = unit[i:j]
-                piece = ids.get(part)
-                if piece is not None:
+                hit = pieces(unit[i:j])
+                if hit is None:
+                    break
+                score, piece = hit
+                if piece:
                     single |= j == i + 1
-                    score = scores[piece]
-                    into[j].append((i, score, (piece,)))
+                    into[j].append((i, score, piece))
                     if here + score > best[j]:
                         best[j] = here + score
-                if part not in starts:
-                    break
             if not single:
                 into[i + 1].append((i, self.lowest, self.spelled(unit[i])))
-                best[i + 1] = max(best[i + 1], here + self.lowest)
+                if here + self.lowest > best[i + 1]:
+                    best[i + 1] = here + self.lowest
         found: list[Path] = []
         agenda = [(-best[size], 0, size, 0.0, None)]
         count = 0
-        while agenda and len(found) < n:
-            total, _, at, behind, path = heapq.heappop(agenda)
-            if at == 0:
+        while agenda:
+            total, _, at, behind, path = agenda.pop(0)
+            if not at:
                 flat: list[int] = []
                 while path is not None:
                     flat += path[0]
                     path = path[1]
                 found.append((-total, tuple(flat)))
+                if len(found) == n:
+                    break
                 continue
+            room = n - len(found)  # every entry leads to a path of just its score, so no more entries are ever needed
             for i, score, piece in into[at]:
-                count += 1
-                heapq.heappush(agenda, (-(behind + score + best[i]), count, i, behind + score, (piece, path)))
+                whole = -(behind + score + best[i])
+                if len(agenda) < room:
+                    insort(agenda, (whole, (count := count + 1), i, behind + score, (piece, path)))
+                elif whole < agenda[-1][0]:
+                    agenda.pop()
+                    insort(agenda, (whole, (count := count + 1), i, behind + score, (piece, path)))
         return found
 
     def nbest_unit(self, unit: str, n: int) -> list[Path]:
@@ -142,8 +155,10 @@ class Lattice:
         return merged([self.nbest_word(w, n) for w in self.words(text)], n)
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.texts[i].encode("utf-8", "surrogatepass") for i in ids)
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return self.spelling(ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+
+    def spelling(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
 
 
 def least_sums(lists: list[list[float]], n: int) -> list[list[tuple[int, int]]]:
@@ -161,6 +176,13 @@ def least_sums(lists: list[list[float]], n: int) -> list[list[tuple[int, int]]]:
 
 
 def merged(parts: list[list[Path]], n: int) -> list[Path]:
+    open_ = [k for k, p in enumerate(parts) if len(p) > 1]
+    if len(open_) < 2:  # one part at most has a choice: its paths between what stands around it
+        k = open_[0] if open_ else 0
+        before, after = [p[0] for p in parts[:k]], [p[0] for p in parts[k + 1 :]]
+        rest = sum([s for s, _ in before]) + sum([s for s, _ in after])
+        left, right = tuple([i for _, ids in before for i in ids]), tuple([i for _, ids in after for i in ids])
+        return [(s + rest, left + ids + right) for s, ids in (parts[k] if parts else [(0.0, ())])]
     ways = least_sums([[p[0][0] - q[0] for q in p] for p in parts], n)
     out = []
     for way in ways:
@@ -205,8 +227,7 @@ class _Words:
         paths = self.lattice.nbest_word(word, self.n)
         score, ids = paths[0]
         losses = tuple(score - s for s, _ in paths[1:])
-        back = word.replace(SPACE, " ").removeprefix(" ")
-        return score, losses, len(ids), np.array(ids, dtype="<u4").tobytes(), self.lattice.decode(ids) == back
+        return score, losses, len(ids), array("I", ids).tobytes(), self.lattice.spelling(ids) == word.encode("utf-8", "surrogatepass")
 
 
 _words: dict[tuple, _Words] = {}
