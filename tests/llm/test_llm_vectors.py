@@ -75,7 +75,7 @@ def test_nearest(spark, vectors):
     rows = [(r["vec_id"], usable(r["embedding"])) for r in vectors.collect()]
     rows = [(i, x) for i, x in rows if x is not None]
     got = {}
-    for r in neighbours.nearest(vectors, shard_rows=256).collect():
+    for r in neighbours.nearest(vectors).collect():
         got.setdefault(r["query_id"], []).append(r)
     assert set(got) == {i for i, x in rows if i % 20 == 0 and sum(len(y) == len(x) for _, y in rows) > 1}
     hit = total = 0
@@ -119,7 +119,41 @@ def test_nearest_finds_separate_groups(spark, noise):
     for r in neighbours.nearest(rows).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
     assert sorted(got) == list(range(0, len(x), 20))
+    hit = 0
     for i, own in got.items():
         score = (x.astype(np.float64) * x[i].astype(np.float64)).sum(1)
         best = [j for j in np.lexsort((np.arange(len(x)), -score)).tolist() if j != i][:20]
-        assert [own[k] for k in range(1, 21)] == best
+        assert len(own) == 20
+        hit += len(set(own.values()) & set(best))
+    assert hit >= 0.98 * 20 * len(got)
+
+
+def test_nearest_by_length_too(spark):
+    """Vectors of very different lengths: the largest inner products belong to long vectors far away."""
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(3_000, 16)) * rng.lognormal(0, 1, (3_000, 1))).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for i, own in got.items():
+        score = (x.astype(np.float64) * x[i].astype(np.float64)).sum(1)
+        hit += len(own & set([j for j in np.argsort(-score, kind="stable").tolist() if j != i][:20]))
+    assert len(got) == 150 and hit >= 0.9 * 20 * len(got)
+
+
+def test_neighbour_graph_settles(spark):
+    """The graph itself is close to the exact one."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2_500, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, 12, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, grp long, g binary")
+    edges = {}
+    for r in neighbours.descend(points, neighbours.cut_cells(points)[0], 10).collect():
+        edges.setdefault(r.u, set()).add(r.v)
+    near = x @ x.T
+    np.fill_diagonal(near, -9)
+    exact = np.argsort(-near, axis=1)[:, :10]
+    assert all(len(edges[k]) == 10 for k in range(len(x)))
+    assert np.mean([len(edges[k] & set(exact[k].tolist())) for k in range(len(x))]) >= 9
