@@ -56,6 +56,17 @@ def test_byte_pieces_and_ids_match_the_library():
             assert sp.decode(list(ids)) == text
 
 
+def test_the_second_best_of_every_word():
+    lattice = sl.lattice_of(MODEL)
+    words = sl._Words(lattice, 4)
+    for text in TEXTS + ["thorshing.", "Oichque...", "ééan漢x", "wh%%%", "x" * 40]:
+        for word in lattice.words(text):
+            paths = lattice.nbest_word(word, 4)
+            score, second, pieces, raw, spelled = words.look([word])[0]
+            assert score == pytest.approx(paths[0][0]) and spelled and pieces == len(raw) // 4
+            assert second == pytest.approx(paths[0][0] - paths[1][0]) if len(paths) > 1 else second == float("inf")
+
+
 def test_query_round_trips(spark):
     rows = QUERIES["op2_sentencepiece_nbest"](spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -64,6 +75,7 @@ def test_query_round_trips(spark):
     for r in rows[:40]:
         best = lattice.nbest(texts[r["doc_id"]])
         assert r["nbest_scores"] == pytest.approx([s for s, _ in best]) and r["n_pieces"] == len(best[0][1])
+        assert r["ids"] == list(best[0][1]) and lattice.decode(r["ids"]) == texts[r["doc_id"]]
         assert r["best_score"] == pytest.approx(best[0][0]) and r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True)
 
 
