@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from headwind.llm.tables import keep, slices, texts
+from headwind.llm.tables import fresh_name, keep, slices, texts
 
 SAMPLE = 1_500  # rows learned from, per language
 WORDS = 20_000  # words kept per language
@@ -36,7 +36,6 @@ CACHED_BYTES = 24 << 20  # of vectors in a worker's cache
 LONG = 64  # longer chunks are scored but not remembered
 SLICE = 128
 UNDETERMINED = "und"
-MIN_SCORE = 0.5  # below it the pipeline rejects a document
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -217,5 +216,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``, learned from its own labelled rows."""
-    return decided(docs, Model(learn(docs, id_col, text_col, lang_col)), text_col, "_lang", "_score")
+    """``docs`` with ``_lang`` and ``_score`` (or names like them that ``docs`` lacks), learned from its own labelled rows."""
+    return decided(docs, Model(learn(docs, id_col, text_col, lang_col)), text_col, fresh_name(docs, "_lang"), fresh_name(docs, "_score"))

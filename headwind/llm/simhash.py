@@ -21,6 +21,7 @@ unless all ids of a component are null; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwind.llm.components import components
-from headwind.llm.tables import keep, slices, texts
+from headwind.llm.tables import fresh_name, keep, slices, texts
 
 SEED = 42
 BITS = 64
@@ -65,13 +66,21 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
+    return marked(docs, id_col, text_col, words, "doc_id long, fp long")
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, words: int, schema: str = "doc_id long, fp long, digest binary") -> DataFrame:
+    """``doc_id, fp`` and, where the schema asks for it, ``digest``: the SHA-256 of the text."""
+    digests = "digest" in schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
-            found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found)})
+            values = texts(batch.column(1))
+            found = np.array([fingerprint(t, words) for t in values], dtype=np.uint64).view(np.int64)
+            more = {"digest": pa.array([hashlib.sha256(t.encode()).digest() for t in values], pa.binary())} if digests else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found), **more})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -328,13 +337,18 @@ def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def class_components(classes: DataFrame) -> DataFrame:
+    """``fp, c``: the component of each class of equal fingerprints, named by one of them."""
+    named = components(links(classes, make_plan(classes)))
+    joined = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.select(*classes.columns, F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row."""
     prints = keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    named = components(links(classes, make_plan(classes)))
-    joined = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left")
-    joined = keep(joined.select("fp", "least", F.coalesce("component", "fp").alias("c")), "class-components")
+    joined = keep(class_components(classes), "class-components")
     first = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     ids = keep(joined.join(first, "c").select("fp", "component_id"), "class-ids")
     out = prints.join(ids, "fp")
@@ -342,18 +356,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row for each such id; rows with a null id all stay.
+    """One row of each component: the one with the smallest id (known ids first), then the smallest digest of its text.
 
-    Rows are shuffled once, by id, to meet the ids that stay; only rows of a repeated id are compared with each other.
+    Rows are told apart by id and text together, so another text of a repeated id is judged on its own, and rows without an
+    id count like others. Rows that agree in both are one: the smallest of them stays. Texts are shuffled once.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
-    counted = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("_leads"), (F.count("*") > 1).alias("_again")
+    prints = keep(marked(docs, id_col, text_col, words), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    classes = keep(prints.groupBy("fp").agg(F.min(row).alias("lead")), "classes")
+    leads = class_components(classes).groupBy("c").agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead.digest")
+    again = prints.groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("again"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    lead, digest, more, mine = (fresh_name(docs, n) for n in ("lead", "digest", "again", "mine"))
+    leaders = leads.alias("a").join(again.alias("b"), same).select(
+        F.col("a.doc_id").alias(lead), F.col("a.digest").alias(digest), F.col("again").alias(more)
     )
-    leaders = keep(counted.where("_leads").select(F.col("doc_id").alias("_leader"), "_again"), "leaders")
-    # a shuffle at every size: the ids that stay grow with the input, and so may not be sent to every task
-    kept = docs.join(leaders.hint("merge"), F.col(id_col).cast("long") == F.col("_leader"))
-    columns = [F.col(c) for c in docs.columns]
-    once = kept.where("not _again").select(*columns)
-    again = kept.where("_again").groupBy("_leader").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    leaders = keep(leaders, "leaders")
+    own = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumn(mine, own)
+    # a shuffle at every size: the rows that stay grow with the input, and so may not be sent to every task
+    kept = keyed.join(leaders.hint("merge"), keyed[f"`{id_col}`"].cast("long").eqNullSafe(leaders[lead]) & (keyed[mine] == leaders[digest]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where(~F.col(more)).select(*columns)
+    twice = kept.where(F.col(more)).groupBy(lead, digest).agg(F.min(F.struct(*columns)).alias(mine)).select(f"{mine}.*")
+    return once.unionByName(twice)

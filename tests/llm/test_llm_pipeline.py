@@ -1,5 +1,6 @@
 """The pipeline against its stages done by hand."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -22,19 +23,14 @@ def by_hand(spark, docs):
     for r in rows:
         sums = sum((np.array(model.chunk(w)) for w in (r["text"] or "").lower().split()), np.zeros(len(model.langs) + 2))
         lang, score = model.decide(sums)
-        if lang != "und" and score >= 0.5:
+        if lang != "und":
             kept.append(r)
     label = brute_components([brute_fingerprint(r["text"] or "") for r in kept]) if kept else []
-    least = {}
-    for r, c in zip(kept, label):
-        if r["doc_id"] is not None:
-            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
-    first, out = set(), []
-    for r, c in sorted(zip(kept, label), key=lambda x: str(x[0])):
-        if r["doc_id"] is None or (r["doc_id"] in set(least.values()) and r["doc_id"] not in first):
-            first.add(r["doc_id"])
-            out.append(r)
-    return out
+    lead = {}
+    for k, (r, c) in enumerate(zip(kept, label)):
+        key = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.sha256((r["text"] or "").encode()).digest(), str(r))
+        lead[c] = min(lead.get(c, (key, k)), (key, k))
+    return [kept[k] for _, k in sorted(lead.values())]
 
 
 def test_pipeline(spark):
@@ -54,13 +50,31 @@ def test_stages_keep_columns_and_clean_rows(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         docs = out
-    assert docs.where("doc_id = 7").count() == 1
+    assert docs.where("doc_id = 7").count() == 2  # the row, and another text of the same id; its repetition went
     assert docs.where("doc_id is null").count() == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), SF).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_duplicates", "personal_data", "best_fit_packing"]
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Another text of a repeated id stays, copies without an id fold, and clashing names change nothing."""
+    line = "a first text with some more words in it than the shingles need, "
+    rows = [(1, line * 3), (1, "something else altogether, of the same id but with other words in every place of it"), (None, line * 3), (2, line * 3)]
+    rows += [(None, "no id at all here, and yet copied twice over with all of these words"), (None, "no id at all here, and yet copied twice over with all of these words")]
+    rows += [(3, "the row that is repeated as a whole, word by word and id by id"), (3, "the row that is repeated as a whole, word by word and id by id")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _lang string, _score double, _leader long, _again boolean, lead string, mine int, digest string, again string"
+    data = [(i, t, "en", "s", len(t), "x", 0.5, 1, True, "l", 1, "d", "a") for i, t in rows]
+    docs = spark.createDataFrame(data, names)
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text[:12]) for r in out.collect()) == sorted(
+        [("1", "a first text"), ("1", "something el"), ("None", "no id at all"), ("3", "the row that")]
+    )
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert corpus_pipeline.language_stage(spark, docs, SF).count() == docs.count()
