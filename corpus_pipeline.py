@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from headwind.llm import language_id, packing, pii, simhash
 from headwind.llm.queries import tokenizer_file
-from headwind.llm.tables import keep
+from headwind.llm.tables import fresh_name, keep
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, or with a score below ``language_id.MIN_SCORE``; without learned languages, only the former."""
+    """Drops documents whose language cannot be told: those without a letter. A low score alone drops nothing."""
     model = language_id.Model(language_id.learn(docs))
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    found = language_id.decided(docs, model, "text", "_lang", "_score")
-    found = found.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= language_id.MIN_SCORE))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang = fresh_name(docs, "lang_pred")
+    found = language_id.decided(docs, model, "text", lang, fresh_name(docs, "score"))
+    return found.where(F.col(lang) != language_id.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, one row where that id repeats; null ids all stay."""
+    """Keeps one document of each component: the smallest id, rows without an id last; equal ids by their texts."""
     return simhash.keep_one(docs)
 
 
