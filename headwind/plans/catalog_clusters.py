@@ -89,6 +89,15 @@ def _(spark, sf):
     return points.select("id", "cluster", r6("s"))
 
 
+@query("i4_silhouette_sampled", f"{_EXACT} select true as within_bound from sil having count(*) > 0")
+def _(spark, sf):
+    """The estimate from drawn points lies within its stated bound of the exact score."""
+    points, error = vectors(spark, sf), 0.1
+    guess = quality.silhouette_sampled(points, "id", "x", "cluster", error)
+    exact = quality.silhouette(points, "id", "x", "cluster")
+    return exact.select((F.abs(F.col("silhouette") - guess) <= 4 * error / (1 - error)).alias("within_bound"))
+
+
 @query(
     "i4_silhouette_squared",
     f"{_SILHOUETTE.format(dist=d2('p.x', 'q.x'))} select round(avg(s), 6) + 0.0 as silhouette from sil",
@@ -122,9 +131,7 @@ def _(spark, sf):
     return density.core_points(vectors(spark, sf), "id", "x", EPS, MIN_SAMPLES).select("id", "n", "core")
 
 
-@query(
-    "i6_dbscan",
-    f"""with recursive {VECTORS}, {_NEAR}, core as (select id from cnt where n >= {MIN_SAMPLES}),
+_DBSCAN_SQL = f"""with recursive {VECTORS}, {_NEAR}, core as (select id from cnt where n >= {MIN_SAMPLES}),
     link as (select a, b from near where a in (select id from core) and b in (select id from core)),
     reach(id, root) as (select id, id from core union select l.b, r.root from reach r join link l on l.a = r.id),
     comp as (select id, min(root) as root from reach group by id),
@@ -132,12 +139,19 @@ def _(spark, sf):
     lab as (select id, c from comp join num using (root)
       union all select n.a, min(num.c) from near n join comp on comp.id = n.b join num using (root)
       where n.a not in (select id from core) group by n.a)
-    select p.id, cast(coalesce(c, -1) as integer) as cluster from pts p left join lab using (id)""",
-)
+    select p.id, cast(coalesce(c, -1) as integer) as cluster from pts p left join lab using (id)"""
+
+
+@query("i6_dbscan", _DBSCAN_SQL)
 def _(spark, sf):
     return density.dbscan(vectors(spark, sf), "id", "x", EPS, MIN_SAMPLES)
 
 
+@query("i6_dbscan_pivots", _DBSCAN_SQL)
+def _(spark, sf):
+    return density.dbscan(vectors(spark, sf), "id", "x", EPS, MIN_SAMPLES, partition="pivots")
+
+
 # --- K-means, sweeps, reductions ------------------------------------------------------------------------------------
 
 

@@ -154,7 +154,7 @@ def general_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42
 
 def general_density(df: DataFrame, key: str, eps: float = 1.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN over the same features; rows must carry ``features``."""
-    return density.dbscan(df.select(key, vector_to_array("features").alias("x")), key, "x", eps, min_samples, dims=3)
+    return density.dbscan(df.select(key, vector_to_array("features").alias("x")), key, "x", eps, min_samples, partition="pivots")
 
 
 def to_vector(df: DataFrame, x: str, out: str = "features") -> DataFrame:

@@ -48,12 +48,38 @@ def brute_dbscan(x, eps, m):
 @pytest.mark.parametrize("seed,copies,eps,m,dims,block", [(0, 0, 1.2, 5, 2, 1024), (1, 60, 0.9, 4, 3, 16), (2, 0, 0.2, 3, 1, 32), (3, 40, 2.5, 5, 2, 8)])
 def test_dbscan_equals_brute_force(spark, monkeypatch, seed, copies, eps, m, dims, block):
     for fn in (density.neighbour_counts, density.links):
-        monkeypatch.setattr(fn, "__defaults__", (2, block))
+        monkeypatch.setattr(fn, "__defaults__", (2, block, "grid"))
     x = cloud(seed, copies)
     got = {r.id: r.cluster for r in density.dbscan(points(spark, x), "id", "x", eps, m, dims).collect()}
     assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, eps, m))
 
 
+@pytest.mark.parametrize("seed,copies,eps,m,d", [(0, 0, 1.2, 5, 3), (1, 60, 0.9, 4, 3), (3, 40, 2.5, 5, 9), (4, 0, 6.0, 5, 30), (5, 0, 0.01, 1, 2)])
+def test_dbscan_by_pivots_equals_brute_force(spark, monkeypatch, seed, copies, eps, m, d):
+    for fn in (density.neighbour_counts, density.links):
+        monkeypatch.setattr(fn, "__defaults__", (2, 24, "grid"))
+    x = cloud(seed, copies, d=d)
+    got = {r.id: r.cluster for r in density.dbscan(points(spark, x), "id", "x", eps, m, partition="pivots").collect()}
+    assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, eps, m))
+
+
+def test_pivots_meet_few_pairs(spark):
+    """Separate groups in forty dimensions: two grid coordinates cannot tell them apart, pivots can."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 40)) * 3
+    x = np.concatenate([c + rng.normal(size=(100, 40)) * 0.15 for c in centers])
+    assert density.pairs_met(points(spark, x), "id", "x", 1.5) < 0.25
+
+
+@pytest.mark.parametrize("error", [0.1, 0.3])
+def test_sampled_silhouette_is_close(spark, error):
+    x = cloud(7, n=900, d=4)
+    c = np.arange(len(x)) % 4
+    c[3] = 9
+    got = quality.silhouette_sampled(points(spark, x, c), "id", "x", "cluster", error)
+    assert abs(got - brute_silhouette(x, c)) <= min(4 * error / (1 - error), 0.05)
+
+
 def test_dbscan_on_grid_ties(spark):
     x = np.array(list(itertools.product(range(6), range(6))), dtype=float)  # many distances equal eps exactly
     got = {r.id: r.cluster for r in density.dbscan(points(spark, x), "id", "x", 1.0, 5).collect()}
