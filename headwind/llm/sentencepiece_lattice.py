@@ -29,6 +29,7 @@ import zlib
 from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from headwind.llm.tables import slices, texts
 
-SCHEMA = "doc_id long, n_pieces long, best_score double, nbest_scores array<double>, ids array<int>, ids_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, best_score double, nbest_scores array<double>, ids_crc32 long, round_trip boolean"
 NBEST = 4
 SPACE = "▁"
 UNKNOWN = 10.0  # a character without a piece scores this much below the lowest piece
@@ -147,7 +148,7 @@ class Lattice:
         lost: list[list[tuple[float, int, tuple[int, ...]]] | None] = [None] * (size + 1)
         found: list[Path] = []
         agenda: list[tuple] = [(0.0, 0, size, None)]
-        count = 0
+        order = 0
         while agenda:
             total, _, at, path = agenda.pop(0)
             room = n - len(found) - 1  # every entry leads to a path of just its loss, so no more entries are ever needed
@@ -162,8 +163,8 @@ class Lattice:
                         if not agenda or whole >= agenda[-1][0]:
                             break
                         agenda.pop()
-                    count += 1
-                    insort(agenda, (whole, count, i, (piece, path)))
+                    order += 1
+                    insort(agenda, (whole, order, i, (piece, path)))
                 _, at, piece = edges[0]
                 path = (piece, path)
             flat: list[int] = []
@@ -202,7 +203,7 @@ class Lattice:
             return []
         if text[0] == " " or "  " in text or SPACE in text:  # runs of marks, with the one that leads the text
             return _RUNS.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+        return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
     def nbest(self, text: str, n: int = NBEST) -> list[Path]:
         """The ``n`` best segmentations of a text."""
@@ -314,8 +315,11 @@ def id_lists(sizes: list[int], raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST) -> DataFrame:
-    """For every row: pieces and score of the best segmentation, the scores of the ``n`` best, its ids, a checksum, a round trip."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST, with_ids: bool = False) -> DataFrame:
+    """For every row: pieces and score of the best segmentation, the scores of the ``n`` best, a checksum, a round trip.
+
+    ``with_ids`` adds the ids of the best segmentation, some two bytes for each byte of text.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model_path)
@@ -324,28 +328,30 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             pieces, best, scores, ids, crc, trip = [], [], [], [], [], []
             for text in texts(batch.column(1)):
                 words = lattice.words(text)
-                entries = own.look(words)
-                top = sum([e[0] for e in entries])
-                close = heapq.nsmallest(n - 1, [(e[1], k) for k, e in enumerate(entries)])
+                values, seconds, counts, parts, spelled = zip(*own.look(words)) if words else ((),) * 5
+                top = sum(values)
+                close = heapq.nsmallest(n - 1, zip(seconds, count()))
                 sums = [0.0]
                 for second, k in close:
                     if second < np.inf:
                         sums = sorted(s + loss for s in sums for loss in (0.0, *own.losses(words[k])))[:n]
-                pieces.append(sum([e[2] for e in entries]))
+                pieces.append(sum(counts))
                 best.append(float(top))
                 scores.append([float(top - s) for s in sums])
-                raw = b"".join([e[3] for e in entries])
-                ids.append(raw)
+                raw = b"".join(parts)
+                if with_ids:
+                    ids.append(raw)
                 crc.append(zlib.crc32(raw))
-                trip.append(all([e[4] for e in entries]))
+                trip.append(all(spelled))
+            more = {"ids": id_lists(pieces, ids)} if with_ids else {}
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0), "n_pieces": pa.array(pieces, pa.int64()), "best_score": pa.array(best, pa.float64()),
-                    "nbest_scores": pa.array(scores, pa.list_(pa.float64())), "ids": id_lists(pieces, ids), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(trip, pa.bool_()),
+                    "nbest_scores": pa.array(scores, pa.list_(pa.float64())), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(trip, pa.bool_()), **more,
                 }
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST) -> DataFrame:

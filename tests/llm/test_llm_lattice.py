@@ -68,7 +68,10 @@ def test_the_second_best_of_every_word():
 
 
 def test_query_round_trips(spark):
-    rows = QUERIES["op2_sentencepiece_nbest"](spark, SF).collect()
+    rows = sl.encode(spark.read.parquet(f"{SF}/documents.parquet"), MODEL, with_ids=True).collect()
+    assert sorted(r.asDict().items() for r in QUERIES["op2_sentencepiece_nbest"](spark, SF).collect()) == sorted(
+        {k: v for k, v in r.asDict().items() if k != "ids"}.items() for r in rows
+    )
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert sorted(r["doc_id"] for r in rows) == sorted(texts) and all(r["round_trip"] for r in rows)
     lattice = sl.lattice_of(MODEL)
