@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -373,21 +374,63 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
 
 
-def test_license_sentences_of_several_parts(spark):
-    gpl2, gpl3 = GPL.format(a=";", b=";", v=2), GPL.format(a=":", b=",", v=3)
-    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy"
-    cases = {
-        gpl2: ("GPL-2.0-or-later", ""), gpl3: ("GPL-3.0-or-later", ""), "# " + gpl2.replace("\n", "\n# "): ("GPL-2.0-or-later", ""),
-        " * " + gpl3.replace("\n", "\n * ").replace(" * \n", " *\n"): ("GPL-3.0-or-later", ""), gpl3.split("\n\n")[0]: ("GPL-3.0-or-later", ""),
-        gpl2.split("\n\n")[0]: ("GPL-2.0-or-later", ""), gpl2 + "\n\n" + gpl3: ("GPL-2.0-or-later,GPL-3.0-or-later", ""),
-        "This program is free software: take it.": ("", ""), GPL.format(a=";", b=";", v=1): ("", "GplEven,GplHope,GplSee"),
-        mpl.format("2.0"): ("MPL-2.0", ""), mpl.format("1.1"): ("", ""), "Version 1. 2.0. End": ("", ""),
-    }
-    rows = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
-    assert [(rows[k]["licenses"], rows[k]["left_over"]) for k in range(len(cases))] == list(cases.values())
-    assert rows[0]["joined_identifiers"] == "Gpl2Free GplHope GplEven GplSee" and rows[1]["joined_identifiers"] == "GplFree GplHope GplEven GplSee"
-    used = {i for _, parts in licenses.NOTICES + licenses.RULES for i in parts.split()}
-    assert used <= set(licenses.SENTENCES)
+def notice(inner: str, version: str, subject: str = "program", end: str = "") -> str:
+    end = end or f"either version {version} of the License, or (at your option) any later version."
+    return f"""This {subject} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {inner}General Public
+License as published by the Free Software Foundation; {end}"""
+
+
+MIT_PARTS = [licenses.SENTENCES[k] for k in ("MitGrant", "MitNotice", "MitAsIs", "MitLiable")]
+BSD_PARTS = [licenses.SENTENCES[k] for k in ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiable")]
+NOTICE_CASES = {
+    GPL.format(a=";", b=";", v=2): ("GPL-2.0-or-later", ""), GPL.format(a=":", b=",", v=3): ("GPL-3.0-or-later", ""), GPL.format(a=";", b=";", v=1): ("GPL-1.0-or-later", ""),
+    "# " + GPL.format(a=";", b=";", v=2).replace("\n", "\n# "): ("GPL-2.0-or-later", ""),
+    " * " + GPL.format(a=":", b=",", v=3).replace("\n", "\n * ").replace(" * \n", " *\n"): ("GPL-3.0-or-later", ""),
+    GPL.format(a=";", b=";", v=2).split("\n\n")[0]: ("GPL-2.0-or-later", ""), GPL.format(a=":", b=",", v=3).split("\n\n")[0]: ("GPL-3.0-or-later", ""),
+    GPL.format(a=";", b=";", v=2) + "\n\n" + GPL.format(a=":", b=",", v=3): ("GPL-2.0-or-later,GPL-3.0-or-later", ""),
+    GPL.format(a=";", b=";", v=4): ("", "GplEven,GplHope,GplSee"), "This program is free software: take it.": ("", ""),
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy": ("MPL-2.0", ""),
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If a copy": ("", ""), "Version 1. 2.0. End": ("", ""),
+    notice("Lesser ", "2.1", "library"): ("LGPL-2.1-or-later", ""), notice("Lesser ", "3"): ("LGPL-3.0-or-later", ""), notice("Library ", "2", "library"): ("LGPL-2.0-or-later", ""),
+    notice("Affero ", "3"): ("AGPL-3.0-or-later", ""), notice("", "2", end="version 2 of the License."): ("GPL-2.0-only", ""), notice("", "3", end="version 3 only."): ("GPL-3.0-only", ""),
+    "\n\n".join(MIT_PARTS): ("MIT", ""), "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + "\n\n".join(MIT_PARTS): ("MIT", ""),
+    "\n\n".join([MIT_PARTS[0], *["Some other text stands here."] * 500, MIT_PARTS[1]]): ("", "MitGrant,MitNotice"),
+    "\n\n".join([BSD_PARTS[0], *(f"{k}. {t}" for k, t in enumerate(BSD_PARTS[1:4], 1)), *BSD_PARTS[4:]]): ("BSD-3-Clause", ""),
+    "\n".join([BSD_PARTS[0], *(f"  * {t}" for t in BSD_PARTS[1:3]), *BSD_PARTS[4:]]): ("BSD-2-Clause", ""),
+    "\n".join([*BSD_PARTS[:3], "Neither the name of Some Firm nor the names of others may be used.", *BSD_PARTS[4:]]): ("BSD-3-Clause", ""),
+    "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989": ("GPL-2.0", ""), "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": ("Apache-2.0", ""),
+    "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": ("AGPL-3.0", ""), "\n".join(licenses.SENTENCES[k] for k in ("ZlibAsIs", "ZlibLiable", "ZlibGrant")): ("Zlib", ""),
+    licenses.SENTENCES["EplTerms"]: ("EPL-2.0", ""), "Licensed under EUPL 1.2.\nReleased under the zlib License.": ("EUPL-1.2,Zlib", ""),
+    "SPDX-License-Identifier: Apache-2.0": ("Apache-2.0", ""), "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;": ("LGPL-2.1-or-later", ""),
+    "Apache-2.0": ("", ""), "SPDX-License-Identifier: text Apache-2.0": ("", ""),
+    "1. \n a) \u0085 b\u2028": ("", ""), "<MitGrant><MitNotice> [MIT] | <?> <#3>": ("", ""), "MIT\x01License\x01SPDX-License-Identifier:\tMIT": ("MIT", ""),
+}
+
+
+def test_license_notices_in_columns_and_sql(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(NOTICE_CASES)] + [(None, None), (0, ""), (0, ""), (7, "MIT License " * 3000)], "doc_id long, text string")
+    rows = licenses.scan(docs).collect()
+    by = {r["doc_id"]: r for r in rows if r["n_sentences"] or r["joined_identifiers"]}
+    assert {t: (by[k]["licenses"], by[k]["left_over"]) if k in by else ("", "") for k, t in enumerate(NOTICE_CASES)} == NOTICE_CASES
+    assert by[0]["joined_identifiers"] == "Gpl2Free GplHope GplEven GplSee" and by[1]["joined_identifiers"] == "GplFree GplHope GplEven GplSee"
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    assert Counter(map(tuple, rows)) == Counter(con.execute(licenses.scan_sql()).fetchall())
+
+
+def test_every_license_sentence_in_columns_and_sql(spark):
+    """Each sentence of the catalogue alone, and the sentences of each rule one after another."""
+    sentences, rules = licenses.catalogue()
+    texts_ = list(sentences.values()) + ["\n\n".join(sentences[p] if p != licenses.OTHER else "Other words." for p in parts.split()) for _, parts in rules]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    rows = licenses.scan(docs).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert Counter(map(tuple, rows)) == Counter(con.execute(licenses.scan_sql()).fetchall())
+    by = {r["doc_id"]: r["licenses"].split(",") for r in rows}
+    missed = [(licence, parts) for k, (licence, parts) in enumerate(rules, len(sentences)) if licence not in by[k]]
+    assert missed == []
 
 
 def test_license_sentences_of_one_form_are_refused(spark):
