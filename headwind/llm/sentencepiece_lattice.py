@@ -11,8 +11,8 @@ give: of 300 texts of the test tables none had the same ids as the library's own
 probabilities there, and its best segmentation is the library's.
 
 No piece holds certain pairs of neighbouring characters, so every path has a boundary there. Texts fall apart at these
-points into words and units that are searched on their own and remembered by each worker (bounded); the N best of a text
-follow exactly from the N best of its units. Characters without a piece are spelled in byte pieces, at a score below all
+points into words, chunks (letters, and what is between letters) and units that are searched on their own and remembered
+by each worker (bounded); the N best of a text follow exactly from the N best of its parts. Characters without a piece are spelled in byte pieces, at a score below all
 others.
 
 Defined cases: a null or empty text has no pieces, score 0 and one (empty) segmentation; a text has fewer than N
@@ -29,7 +29,6 @@ import zlib
 from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,8 @@ LONG = 48
 SLICE = 128
 
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_CHUNKS = re.compile(r" *+[^\W\d_]++| *+(?:[^\w ]++|[\d_]++)++| ++")
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
@@ -77,11 +78,13 @@ class Lattice:
                 kids = kids.setdefault(char, ({}, 0.0, ()))[0]
             kids[piece[-1]] = (kids.get(piece[-1], ({},))[0], self.scores[i], (i,))
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # letters that some piece joins with another character; texts that hold one are not cut between letters and the rest
+        mixed = {pair for pair in self.joined if SPACE not in pair and bool(_LETTER.match(pair[0])) != bool(_LETTER.match(pair[1]))}
+        self.odd = {char for pair in mixed for char in pair if _LETTER.match(char)} | {SPACE}
         self.raw = [t.encode("utf-8", "surrogatepass") for t in self.texts]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.units: dict[str, list[Path]] = {}
-        self.firsts: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
     def spelled(self, char: str) -> tuple[int, ...]:
         """The byte pieces of a character, or the unknown piece where the model has none."""
@@ -115,30 +118,38 @@ class Lattice:
     def first(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         """Score and ids of the best segmentation, and what the second best loses (infinity: there is none).
 
-        The second best leaves the best way at one edge, and that edge's loss is all it loses.
+        The second best leaves the best way at one edge, so it loses what the runner-up into one place of that way loses.
         """
-        found = self.firsts.get(unit)
-        if found is not None:
-            return found
-        best, into = self.forward(unit)
-        at, way, second = len(unit), [], np.inf
+        size, tree, ids = len(unit), self.tree, self.ids
+        best, runner = [-np.inf] * (size + 1), [-np.inf] * (size + 1)
+        start, pieces = [0] * (size + 1), [()] * (size + 1)
+        best[0] = 0.0
+        for i in range(size):
+            here, kids, j = best[i], tree, i
+            for char in unit[i:]:
+                hit = kids.get(char)
+                if hit is None:
+                    break
+                kids, score, piece = hit
+                j += 1
+                if piece:
+                    score += here
+                    if score > best[j]:
+                        runner[j], best[j], start[j], pieces[j] = best[j], score, i, piece
+                    elif score > runner[j]:
+                        runner[j] = score
+            if unit[i] not in ids:
+                score, j = here + self.lowest, i + 1
+                if score > best[j]:
+                    runner[j], best[j], start[j], pieces[j] = best[j], score, i, self.spelled(unit[i])
+                elif score > runner[j]:
+                    runner[j] = score
+        at, way, second = size, [], np.inf
         while at:
-            top, low = best[at], np.inf
-            for i, score, piece in into[at]:
-                loss = top - best[i] - score
-                if loss < low:
-                    second = min(second, low)
-                    low, start, ids = loss, i, piece
-                elif loss < second:
-                    second = loss
-            way.append(ids)
-            at = start
-        found = best[-1], tuple([i for ids in reversed(way) for i in ids]), second
-        if len(unit) <= LONG:
-            if len(self.firsts) >= CACHED:
-                self.firsts.clear()
-            self.firsts[unit] = found
-        return found
+            second = min(second, best[at] - runner[at])
+            way.append(pieces[at])
+            at = start[at]
+        return best[size], tuple([i for own in reversed(way) for i in own]), second
 
     def search(self, unit: str, n: int) -> list[Path]:
         """The ``n`` best segmentations of a unit, best first."""
@@ -205,6 +216,15 @@ class Lattice:
             return _RUNS.findall(SPACE + text.replace(" ", SPACE))
         return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
+    def chunks(self, text: str) -> list[str]:
+        """The text cut before blanks and between letters and other characters, with its blanks as they are.
+
+        Far fewer chunks than words are different, as marks stand after any word.
+        """
+        if not text:
+            return []
+        return self.words(text) if any(char in text for char in self.odd) else _CHUNKS.findall(" " + text)
+
     def nbest(self, text: str, n: int = NBEST) -> list[Path]:
         """The ``n`` best segmentations of a text."""
         return merged([self.nbest_word(w, n) for w in self.words(text)], n)
@@ -257,30 +277,30 @@ def lattice_of(path: str) -> Lattice:
 
 
 class _Words:
-    """Per word: the best score, the loss of the second best, number of pieces, ids as bytes and whether they spell it.
+    """Per chunk: the best score, the loss of the second best, number of pieces, ids as bytes and whether they spell it.
 
-    A text's ``n`` best leave their best way only in the ``n - 1`` words whose second best loses least, so only those words
-    are searched for more than two.
+    A text's ``n`` best leave their best way only in the ``n - 1`` chunks whose second best loses least, so only those
+    are searched for more than two. What was met lately is kept in two tables; a full one takes the place of the older.
     """
 
     def __init__(self, lattice: Lattice, n: int):
         self.lattice, self.n = lattice, n
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.deep: dict[str, tuple[float, ...]] = {}
 
     def look(self, words: list[str]) -> list[tuple]:
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > CACHED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
             for k, entry in enumerate(found):
                 if entry is None:
                     word = words[k]
-                    entry = self.known.get(word)
-                    if entry is None:
-                        entry = self.entry(word)
-                        if len(word) <= LONG:
-                            self.known[word] = entry
+                    entry = known.get(word) or older.get(word) or self.entry(word.replace(" ", SPACE))
+                    if len(word) <= LONG:
+                        known[word] = entry
                     found[k] = entry
         return found
 
@@ -298,7 +318,7 @@ class _Words:
         """What the second to ``n``-th best of a word lose."""
         found = self.deep.get(word)
         if found is None:
-            paths = self.lattice.nbest_word(word, self.n)
+            paths = self.lattice.nbest_word(word.replace(" ", SPACE), self.n)
             found = tuple(paths[0][0] - s for s, _ in paths[1:])
             if len(word) <= LONG:
                 if len(self.deep) > CACHED:
@@ -327,13 +347,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in slices(batches, SLICE):
             pieces, best, scores, ids, crc, trip = [], [], [], [], [], []
             for text in texts(batch.column(1)):
-                words = lattice.words(text)
+                words = lattice.chunks(text)
                 values, seconds, counts, parts, spelled = zip(*own.look(words)) if words else ((),) * 5
                 top = sum(values)
-                close = heapq.nsmallest(n - 1, zip(seconds, count()))
-                sums = [0.0]
-                for second, k in close:
+                sums, k, before = [0.0], -1, None
+                for second in heapq.nsmallest(n - 1, seconds):
                     if second < np.inf:
+                        k = seconds.index(second, k + 1 if second == before else 0)
+                        before = second
                         sums = sorted(s + loss for s in sums for loss in (0.0, *own.losses(words[k])))[:n]
                 pieces.append(sum(counts))
                 best.append(float(top))
