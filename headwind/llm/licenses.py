@@ -358,9 +358,17 @@ def sentences_of(text: Column, joined: bool) -> Column:
     return F.split(F.regexp_replace(text, f"([.!?;:]){BLANK}+", "$1" + BREAK), BREAK)
 
 
+def lookup(pairs: dict[str, str]) -> Column:
+    """A constant map, given as one expression; thousands of single literals take seconds to send to the JVM."""
+    def quoted(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs.items()) + ")")
+
+
 def marks(text: Column, scanner: Scanner, joined: bool) -> Column:
     """The marks of a text's sentences in order, each in angle brackets."""
-    table = F.create_map(*[F.lit(v) for part, name in scanner.parts.items() for v in (part, f"<{name}>")])
+    table = lookup({part: f"<{name}>" for part, name in scanner.parts.items()})
     found = F.transform(sentences_of(text, joined), lambda s: F.lower(F.trim(F.regexp_replace(s, NOISE, " "))))
     found = F.filter(found, lambda s: (F.length(s) > 2) | ~s.rlike(f"^{MARK}\\z"))
     return F.array_join(F.transform(found, lambda s: F.when(s.isin(*scanner.parts), table[s]).otherwise(F.lit(f"<{OTHER}>"))), "")
@@ -391,9 +399,9 @@ def scan(
         "doc_id", F.regexp_extract_all(F.col("cuts")[0], names, F.lit(1)).alias("lines"), F.regexp_extract_all(F.col("cuts")[1], names, F.lit(1)).alias("flow"),
         F.regexp_extract_all("used", F.lit("\\[([^\\]]+)\\]"), F.lit(1)).alias("several"), F.regexp_extract_all("used", names, F.lit(1)).alias("alone"),
     )
-    table = F.create_map(*[F.lit(v) for pair in scanner.single.items() for v in pair]) if scanner.single else None
-    single = F.transform(F.filter("alone", lambda s: s.isin(*scanner.single)), lambda s: table[s]) if scanner.single else F.array().cast("array<string>")
-    left = F.filter("alone", lambda s: ~s.isin(*scanner.single)) if scanner.single else F.col("alone")
+    table = lookup(scanner.single or {"": ""})
+    single = F.filter(F.transform("alone", lambda s: table[s]), lambda s: s.isNotNull())
+    left = F.filter("alone", lambda s: table[s].isNull())
     return rows.select(
         "doc_id", F.size("lines").cast("long").alias("n_sentences"), F.array_join("lines", " ").alias("identifiers"), F.array_join("flow", " ").alias("joined_identifiers"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("several", single))), ",").alias("licenses"),
