@@ -13,7 +13,8 @@ from headwind.streaming import jobs
 
 
 def _stream(spark, sf, name):
-    return jobs.read_files(spark, sf, table(spark, sf, name).schema, pathGlobFilter=f"{name}.parquet")
+    """A table as a stream, be it one file or a folder of files: as a pattern the path may name either."""
+    return jobs.read_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 @query(
