@@ -204,6 +204,23 @@ def test_factors_stay_positive_and_loss_falls(spark, monkeypatch, limit):
     assert math.isclose(((x[x.sum(1) > 0] - w @ h) ** 2).sum(), got.losses[-1], rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("solver,start", [("cd", "svd"), ("mu", "hash")])
+def test_factors_with_fewer_rows_than_terms(spark, monkeypatch, solver, start):
+    """Where the term factor is too large to send but the row factor is not, the rounds are the same and join nothing."""
+    rng = np.random.default_rng(2)
+    x = rng.poisson(rng.random((12, 2)) @ rng.random((2, 40)) * 3)
+    cells = spark.createDataFrame([(i, f"t{j}", int(x[i, j])) for i in range(12) for j in range(40) if x[i, j]], "id bigint, term string, tf bigint")
+    ways = []
+    for limit in (64 << 20, 12 * 8 * 2):
+        monkeypatch.setattr(decomposition, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(decomposition, "_nmf_by_joins", lambda *_: pytest.fail("the cells were joined"))
+        got = decomposition.nmf(cells, "id", "term", "tf", 2, rounds=7, tol=0, solver=solver, start=start)
+        w = np.array([r[1:] for r in got.rows.select("id", "w0", "w1").orderBy("id").collect()])
+        h = np.array([r[1:] for r in got.terms.select("term", "h0", "h1").orderBy("term").collect()])
+        ways.append((got.losses, w, h))
+    assert len(ways[0][0]) == 7 and all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(*ways))
+
+
 def test_scaling(rows):
     df = rows([(1.0, 5.0), (3.0, 5.0), (5.0, 5.0)], "a double, b double")
     got = features.standardize(df, ["a", "b"]).orderBy("a").collect()
