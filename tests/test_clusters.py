@@ -240,6 +240,25 @@ def test_one_hot_and_bounds(rows):
         features.TermSpace.fit(docs, "t", features.VECTOR_TERMS + 1)
 
 
+@pytest.mark.parametrize("limit", [10_000, 4])
+def test_pairs_come_from_frequent_words(rows, monkeypatch, limit):
+    """The same terms and counts as from all pairs, while pairs with a rare word are never made; ties stay in term order."""
+    monkeypatch.setattr(features, "FREQUENT_WORDS", limit)
+    lists = [["a", "b", "a", "b", "x"], ["a", "b", "c", "a"], ["c", "b", "y"], [], None, ["z", "c"]]
+    words = rows([(w,) for w in lists], "w array<string>")
+    whole = rows([(None if w is None else w + [f"{p} {q}" for p, q in zip(w, w[1:])],) for w in lists], "t array<string>")
+    made, plain = [], features.vocabulary
+
+    def watched(docs, terms, *options):
+        made.append({t for r in docs.collect() for t in r[0] or []})
+        return plain(docs, terms, *options)
+
+    monkeypatch.setattr(features, "vocabulary", watched)
+    for k in (1, 2, 3, 4, 50):
+        assert features.pair_vocabulary(words, "w", k).collect() == plain(whole, "t", k).collect()
+    assert limit == 4 or "b y" not in made[2] and "a b" in made[2]
+
+
 def named(rows, expr, schema, *values):
     return rows([values], schema).select(expr).first()[0]
 
