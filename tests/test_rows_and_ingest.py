@@ -122,3 +122,15 @@ def test_only_frequent_terms_are_folded(rows):
     want = {tuple(r) for r in features.term_counts(every, "id", features.vocabulary_of(every, 2)).collect()}
     assert {tuple(r) for r in features.term_counts(folded, "id", features.vocabulary_of(folded, 2)).collect()} == want
     assert features.vocabulary_of(folded, 2).collect() == features.vocabulary_of(every, 2).collect()
+
+
+def test_terms_are_folded_by_term(spark):
+    """A repeated key is one document, a null key too, and what follows by term shuffles no cell again."""
+    from headwind.operators import features
+
+    data = [(1, ["b", "a", "b"]), (1, ["a"]), (2, []), (None, ["a"]), (3, ["c", "c", "c"]), (None, ["a", "d"])]
+    docs = spark.createDataFrame(data, "id long, terms array<string>")
+    folded = features.fold_by_term(docs, "id", "terms")
+    assert sorted(map(str, folded.collect())) == sorted(map(str, features.fold_terms(docs, "id", "terms").collect()))
+    plan = features.vocabulary_of(folded, min_df=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
