@@ -46,9 +46,10 @@ def sentiment_clusters(df: DataFrame, k: int = 3, n_init: int = 10, seed: int =
 def subject_features(df: DataFrame, stop: list[str] | None = None, title_terms: int = 200, word_terms: int = 100) -> DataFrame:
     """Title TF-IDF, one-hot category and word TF-IDF in one sparse vector."""
     worded = _words(_words(df, "title", "_tt", stop), "all_linguistic_features", "_wt", stop)
-    hot, _ = features.one_hot(worded, "crypto_category", "_hot")
-    out = features.TermSpace.fit(worded, "_tt", title_terms).tfidf(hot, "_tt", "_title")
-    out = features.TermSpace.fit(worded, "_wt", word_terms).tfidf(out, "_wt", "_word")
+    held = cut(worded.select("_tt", "_wt", "crypto_category"))  # so that labels and terms don't prepare the articles again
+    hot, _ = features.one_hot(worded, "crypto_category", "_hot", fitted_on=held)
+    out = features.TermSpace.fit(held, "_tt", title_terms).tfidf(hot, "_tt", "_title")
+    out = features.TermSpace.fit(held, "_wt", word_terms).tfidf(out, "_wt", "_word")
     return features.assemble(out, ["_title", "_hot", "_word"]).drop("_tt", "_wt", "_hot", "_title", "_word")
 
 
@@ -100,7 +101,7 @@ def text_factors(
 ) -> decomposition.Factors:
     """Non-negative topics of one text column, terms in at least 2 and at most 95 % of the articles."""
     worded = _words(df.select(key, column), column, "_t", stop)
-    folded = cut(features.fold_terms(worded, key, "_t"))
+    folded = features.fold_by_term(worded, key, "_t")
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     counts = features.term_counts(folded, key, features.vocabulary_of(folded, min_df=2, max_df=0.95, n_docs=n_docs))
     return decomposition.nmf(counts, key, "term", "tf", topics, rounds, seed)
@@ -139,8 +140,9 @@ def topic_clusters(
 def general_features(df: DataFrame, stop: list[str] | None = None, max_terms: int = 100) -> DataFrame:
     """Uni- and bigram TF-IDF beside eight scaled numbers."""
     worded = _words(df.fillna(0, subset=NUMBER_FEATURES), "all_linguistic_features", "_t", stop, (1, 2))
-    out = features.TermSpace.fit(worded, "_t", max_terms).tfidf(worded, "_t", "_weights")
-    scaled = features.standardize(out, NUMBER_FEATURES)
+    held = cut(worded.select("_t", *NUMBER_FEATURES))  # so that terms and means don't prepare the articles again
+    out = features.TermSpace.fit(held, "_t", max_terms).tfidf(worded, "_t", "_weights")
+    scaled = features.standardize(out, NUMBER_FEATURES, fitted_on=held)
     names = [f"{c}_z" for c in NUMBER_FEATURES]
     return features.assemble(scaled, ["_weights", *names]).drop("_t", "_weights", *names)
 

@@ -362,3 +362,18 @@ def test_sums_of_a_pass_are_added_before_the_driver(spark, monkeypatch):
     got = clustering._visit(held, x.shape[1], fits, 40)
     assert rows_sent == [160] and [int(c.sum()) for c in got.counts] == [len(x)] * 8
     assert all(np.allclose(s.sum(0), x.sum(0)) for s in got.sums)
+
+
+def test_features_are_fitted_on_a_kept_table(spark, monkeypatch):
+    """Vocabularies and means come from a kept table, so that no fit prepares the articles again."""
+    from headwind.operators import features
+    from headwind.plans import clusters
+
+    plans, fit = [], features.TermSpace.fit.__func__
+    seen = lambda docs: plans.append(docs._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(features.TermSpace, "fit", classmethod(lambda cls, docs, *a: seen(docs) or fit(cls, docs, *a)))
+    numbers = {c: F.col("id").cast("double") for c in clusters.NUMBER_FEATURES}
+    words = {c: F.concat(F.lit("word other"), F.col("id").cast("string")) for c in ("title", "all_linguistic_features", "crypto_category")}
+    df = spark.range(6).withColumns(numbers | words)
+    assert clusters.general_features(df).count() == clusters.subject_features(df).count() == 6
+    assert len(plans) == 3 and all(p.startswith("LogicalRDD") for p in plans)
