@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -377,3 +378,42 @@ def test_features_are_fitted_on_a_kept_table(spark, monkeypatch):
     df = spark.range(6).withColumns(numbers | words)
     assert clusters.general_features(df).count() == clusters.subject_features(df).count() == 6
     assert len(plans) == 3 and all(p.startswith("LogicalRDD") for p in plans)
+
+
+def test_a_filter_on_clusters_runs_the_labels_once(spark):
+    """A task has one Python worker for the labels, also where rows without a cluster are left out."""
+    df = points(spark, cloud()).select("id", array_to_vector("x").alias("features"))
+    found = clustering.Clusters("features", [[0.0, 0.0, 0.0], [3.0, 3.0, 3.0]], [0, 0], 0.0)
+    labelled = found.label(df)
+    kept = labelled.where("cluster is not null")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.count() == 120 and {r.cluster for r in kept.collect()} <= {0, 1}
+
+
+def test_a_block_of_distances_is_held_once():
+    rng = np.random.default_rng(0)
+    x, centers = rng.normal(size=(4000, 3)), rng.normal(size=(250, 3))
+    tracemalloc.start()
+    try:
+        d2 = clustering.gaps(x, centers)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * d2.nbytes
+    finally:
+        tracemalloc.stop()
+    assert (d2 == np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ centers.T) + (centers * centers).sum(1), 0.0)).all()
+
+
+def test_drawn_rows_are_the_smallest_keys_of_all_batches(spark):
+    """Three batches a task; every start draws as many different rows as it is asked for, the same ones each time."""
+    x = cloud(3)
+    held = points(spark, x).coalesce(1).select("x", F.xxhash64("x").alias("h"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    drawn = []
+    for size in ("50", "10000"):
+        before = spark.conf.get(name)
+        spark.conf.set(name, size)
+        try:
+            drawn.append(clustering._draw(held, 3, [x[:2], np.empty((0, 3))], [7, 8], 9, 1))
+        finally:
+            spark.conf.set(name, before)
+    for some, whole in zip(*drawn):
+        assert some.shape == (9, 3) and (some == whole).all() and len({tuple(r) for r in some}) == 9
