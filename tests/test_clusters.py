@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from headwind.operators import naming
-from headwind.operators import clustering, decomposition, density, features, pairs, quality
+from headwind.operators import clustering, decomposition, density, features, pairs, quality, reduction
 
 
 def cloud(seed=0, copies=0, n=120, d=3):
@@ -222,6 +222,25 @@ def test_factors_with_fewer_rows_than_terms(spark, monkeypatch, solver, start):
     assert len(ways[0][0]) == 7 and all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(*ways))
 
 
+@pytest.mark.parametrize("solver,start", [("cd", "hash"), ("mu", "hash")])
+def test_factors_as_tables_meet_the_cells_in_blocks(spark, monkeypatch, solver, start):
+    """Where neither factor may be held: the same factors, and a round sends a line for each term of a block, not one a cell."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(rng.random((50, 2)) @ rng.random((2, 20)) * 3)
+    cells = spark.createDataFrame([(i, f"t{j}", int(x[i, j])) for i in range(50) for j in range(20) if x[i, j]], "id bigint, term string, tf bigint")
+    monkeypatch.setattr(reduction, "BLOCK_CELLS", 150)
+    met, ways = [], []
+    meet = reduction.Blocks.meet
+    monkeypatch.setattr(reduction.Blocks, "meet", lambda self, *a, **b: met.append(self.rows.select("block").distinct().count()) or meet(self, *a, **b))
+    for limit in (64 << 20, 0):
+        monkeypatch.setattr(decomposition, "BROADCAST_BYTES", limit)
+        got = decomposition.nmf(cells, "id", "term", "tf", 2, rounds=3, tol=0, solver=solver, start=start)
+        w = np.array([r[1:] for r in got.rows.select("id", "w0", "w1").orderBy("id").collect()])
+        h = np.array([r[1:] for r in got.terms.select("term", "h0", "h1").orderBy("term").collect()])
+        ways.append((got.losses, w, h))
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(*ways)) and len(met) == 3 and met[0] > 1
+
+
 def test_scaling(rows):
     df = rows([(1.0, 5.0), (3.0, 5.0), (5.0, 5.0)], "a double, b double")
     got = features.standardize(df, ["a", "b"]).orderBy("a").collect()
